@@ -25,7 +25,7 @@ def attempt_name(folder: str, stem: str, suffix: str) -> str:
 def open_write(uri: str):
     fs, path = resolve(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
-    return fs.open_output_stream(path)
+    return fs.open_output_stream(path, compression=None)
 
 
 def open_read(uri: str):
