@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomix.llm import bpe, mixing, sharding, token_files, warc
+from fathomix.llm import bpe, mixing, secrets, sharding, token_files, toxicity, warc
 from fathomix.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,13 @@ SELECT p.page_id,
   CASE WHEN k.n > 1 AND p.page_id <> k.kept THEN k.kept END AS refers_to
 FROM p JOIN k USING (h)
 """
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.span_digests(read_table(spark, sf_dir, "documents"))
