@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomix.llm import bpe, mixing, secrets, sharding, token_files, toxicity, warc
+from fathomix.llm import bpe, fingerprints, mixing, secrets, sharding, token_files, toxicity, warc
 from fathomix.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digests(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read_table(spark, sf_dir, "documents"))
