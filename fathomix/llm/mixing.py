@@ -13,7 +13,8 @@ row by row. Everything is DataFrame operations.
 Defined results: a null text has size 0; null sources form one source, ranked
 last; null ids draw from their text; rows equal in id and text share a key and are
 told apart by size alone, so they are interchangeable; an empty table gives no
-rows. Columns other than doc_id, text and source are not carried.
+rows. mix() carries doc_id and source alone, take_mix() all
+columns.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from fathomix.llm.common import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
+#: Sources up to which the plan, a row each, is broadcast; beyond, rows meet it in a join.
+BROADCAST_SOURCES = 100_000
 #: Cells of the sampling key within a source.
 CELLS = 4_096
 
@@ -62,38 +65,74 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, seed: int = 42, quality=word_length_quality) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, copies) of every row."""
+def keyed(docs: DataFrame, seed: int, quality) -> DataFrame:
+    """Adds _source, _size, _key and _cell to docs, each from the row alone."""
     text = F.col("text").cast("string")
-    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("text_hash"), text.alias("text"))
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.lit(2**52)) + 0.5) / float(2**52)
-    key = -F.log(uniform) / F.greatest(F.coalesce(quality(F.col("text"), F.col("size")), F.lit(1.0)), F.lit(1e-6))
-    base = materialize(
-        drawn.select("doc_id", "source", "size", key.alias("key")).withColumn("cell", F.floor((1 - F.exp(-F.col("key"))) * CELLS).cast("int")),
-        "mix-rows",
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.xxhash64("text")), F.lit(2**52)) + 0.5) / float(2**52)
+    return (
+        docs.withColumn("_source", F.col("source").cast("string"))
+        .withColumn("_size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
+        .withColumn("_key", -F.log(uniform) / F.greatest(F.coalesce(quality(text, F.col("_size")), F.lit(1.0)), F.lit(1e-6)))
+        .withColumn("_cell", F.floor((1 - F.exp(-F.col("_key"))) * CELLS).cast("int"))
     )
-    cells = base.groupBy("source", "cell").agg(F.sum("size").alias("size"))
+
+
+def budget_plan(rows: DataFrame) -> DataFrame:
+    """One row a source: (source, source_size, target, epochs, rest, edge, before).
+
+    edge is the cell of the key in which the rest of the budget ends, before the
+    sizes in the cells ahead of it.
+    """
+    cells = rows.groupBy(F.col("_source").alias("source"), F.col("_cell").alias("cell")).agg(F.sum("_size").alias("size"))
     targets = source_targets(cells.groupBy("source").agg(F.sum("size").alias("source_size")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
-    budgets = targets.withColumn("epochs", F.least(epochs, F.lit(MOST_EPOCHS))).withColumn("rest", F.when(F.col("epochs") == MOST_EPOCHS, 0.0).otherwise(F.col("target") - F.col("epochs") * F.col("source_size")))
+    budgets = targets.withColumn("epochs", F.least(epochs, F.lit(MOST_EPOCHS))).withColumn(
+        "rest", F.when(F.col("epochs") == MOST_EPOCHS, 0.0).otherwise(F.col("target") - F.col("epochs") * F.col("source_size"))
+    )
     upto = W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow)
     summed = cells.withColumn("upto", F.sum("size").over(upto))
-    # The first cell whose prefix sum exceeds the rest is the one in which the budget ends.
     edges = (
         summed.join(budgets.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
         .where(F.col("upto") > F.col("rest"))
-        .groupBy("source")
+        .groupBy(F.col("source").alias("s"))
         .agg(F.min(F.struct("cell", (F.col("upto") - F.col("size")).alias("before"))).alias("edge"))
     )
-    plan = budgets.join(edges.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(
-        F.col("source").alias("s"), "source_size", "target", "epochs", "rest", F.col("edge.cell").alias("edge"), F.col("edge.before").alias("before")
+    return budgets.join(edges, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        "source", "source_size", "target", "epochs", "rest", F.col("edge.cell").alias("edge"), F.col("edge.before").alias("before")
+    )
+
+
+def decided(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds _copies, source_size and target under an underscore to keyed rows."""
+    plan = materialize(plan.select(*(F.col(c).alias(f"_p_{c}") for c in plan.columns)), "mix-plan")
+    side = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
+    rows = rows.join(side, F.col("_source").eqNullSafe(F.col("_p_source")))
+    rest, before, epochs = F.col("_p_rest"), F.col("_p_before"), F.col("_p_epochs")
+    at_edge = F.coalesce(F.col("_cell") == F.col("_p_edge"), F.lit(False))
+    ahead = W.partitionBy("_source").orderBy("_key", "doc_id", "_size").rowsBetween(W.unboundedPreceding, -1)
+    middle = before + F.coalesce(F.sum("_size").over(ahead), F.lit(0)) + F.col("_size") / 2
+    edge_rows = rows.where(at_edge).withColumn("_middle", middle).withColumn("_more", (F.col("_middle") <= rest) & (epochs < MOST_EPOCHS)).drop("_middle")
+    other = rows.where(~at_edge).withColumn("_more", F.coalesce(F.col("_cell") < F.col("_p_edge"), F.lit(True)) & (rest > 0))
+    return other.unionByName(edge_rows).withColumn("_copies", epochs + F.col("_more").cast("int"))
+
+
+def mix(docs: DataFrame, seed: int = 42, quality=word_length_quality) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, copies) of every row."""
+    rows = materialize(keyed(docs.select("doc_id", "text", "source"), seed, quality).select("doc_id", "_source", "_size", "_key", "_cell"), "mix-rows")
+    return decided(rows, budget_plan(rows)).select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("_source").alias("source"),
+        F.col("_size").alias("size"),
+        F.col("_p_source_size").alias("source_size"),
+        F.col("_p_target").alias("target"),
+        (F.col("_size") * F.col("_copies")).alias("taken"),
+        F.col("_copies").alias("copies"),
     )
-    rows = base.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    at_edge = F.coalesce(F.col("cell") == F.col("edge"), F.lit(False))
-    ahead = W.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    edge_rows = rows.where(at_edge).withColumn("sum", F.col("before") + F.coalesce(F.sum("size").over(ahead), F.lit(0)))
-    edge_rows = edge_rows.withColumn("more", ((F.col("sum") + F.col("size") / 2 <= F.col("rest")) & (F.col("epochs") < MOST_EPOCHS)).cast("int")).drop("sum")
-    other = rows.where(~at_edge).withColumn("more", (F.coalesce(F.col("cell") < F.col("edge"), F.lit(True)) & (F.col("rest") > 0)).cast("int"))
-    copies = F.col("epochs") + F.col("more")
-    return other.unionByName(edge_rows).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+
+
+def take_mix(docs: DataFrame, seed: int = 42, quality=word_length_quality) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with all columns."""
+    rows = keyed(docs, seed, quality)
+    sizes = materialize(rows.select("_source", "_size", "_cell"), "mix-rows")
+    taken = decided(rows, budget_plan(sizes))
+    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
