@@ -1,0 +1 @@
+"""Search and indexing of mixed document collections on Spark."""
