@@ -20,8 +20,8 @@ def norm(v: Column) -> Column:
 
 
 def normalized(v: Column) -> Column:
-    """v over its length plus EPSILON; v is array<double>."""
-    return F.transform(v, lambda x: x / (norm(v) + EPSILON))
+    """v over its length plus EPSILON; v is array<double>. The length is an outer variable, computed once."""
+    return F.element_at(F.transform(F.array(norm(v) + EPSILON), lambda length: F.transform(v, lambda x: x / length)), 1)
 
 
 def cosine_to(v: Column, query: list[float]) -> Column:

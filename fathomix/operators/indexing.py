@@ -63,8 +63,9 @@ def sparse_hash_embedding(docs: DataFrame, dim: int = 384) -> DataFrame:
 
     A text without a token has its whole in one bucket.
     """
-    tokens = hash_tokens(F.col("text"))
-    listed = docs.select("file_id", F.explode(F.when(F.size(tokens) > 0, tokens).otherwise(F.array("text"))).alias("token"), (F.size(tokens) > 0).alias("real"))
+    split = docs.select("file_id", "text", hash_tokens(F.col("text")).alias("tokens"))
+    some = F.size("tokens") > 0
+    listed = split.select("file_id", some.alias("real"), F.when(some, F.col("tokens")).otherwise(F.array("text")).alias("tokens")).select("file_id", "real", F.explode("tokens").alias("token"))
     counts = listed.groupBy("file_id", md5_bucket(F.col("token"), dim).alias("bucket")).agg(F.count("*").alias("n"), F.first("real").alias("real"))
     raw = counts.withColumn("w", F.when(F.col("real"), F.log1p(F.col("n").cast("double"))).otherwise(1.0))
     return raw.select("file_id", "bucket", (F.col("w") / (F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("file_id"))) + 1e-12)).alias("weight"))

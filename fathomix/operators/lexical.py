@@ -105,7 +105,8 @@ def bm25(docs: DataFrame, query: Query, id_column: str, text_columns: list[str])
     """(id, rank) of matching documents; ranks are negative, lower is better."""
     # A separator after each column keeps phrases from crossing columns.
     parts = [F.array_append(lexical_tokens(F.coalesce(F.col(c), F.lit(""))), F.lit("\x00")) for c in text_columns]
-    scanned = docs.select(F.col(id_column), F.flatten(F.array(*parts)).alias("_tokens"))
+    # The tokens pass a generator of one row: filters do not move below it, so they are made once a document.
+    scanned = docs.select(F.col(id_column), F.explode(F.array(F.flatten(F.array(*parts)))).alias("_tokens"))
     length = F.size("_tokens") - len(text_columns)
     phrases, excluded = query.phrases, query.none_of
     counted = scanned.select(
