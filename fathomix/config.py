@@ -72,7 +72,7 @@ class Config:
         Path(path).write_text(json.dumps(self.to_dict(), indent=2))
 
     @classmethod
-    def load(cls, path: str) -> Config:
+    def read(cls, path: str) -> Config:
         return merge(cls(), json.loads(Path(path).read_text()))
 
 

@@ -39,11 +39,20 @@ def lexical_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(text), MARKED, PLAIN), F.lit(TOKEN), F.lit(0))
 
 
+def strict_json(text: Column) -> Column:
+    """The JSON value that a text is as a whole; null otherwise.
+
+    The parser lets text after a value pass, so the text goes in as the only element
+    of an array.
+    """
+    listed = F.try_parse_json(F.when(text != "", F.concat(F.lit("["), text, F.lit("]"))))
+    return F.when(F.try_variant_get(listed, F.lit("$[1]"), "variant").isNull(), F.try_variant_get(listed, F.lit("$[0]"), "variant"))
+
+
 def json_in(text: Column) -> Column:
     """The JSON value that a text is or, else, holds from its first to its last brace; null without one."""
     whole = F.trim(text)
-    inner = F.regexp_extract(whole, r"(?s)\{.*\}", 0)
-    return F.coalesce(F.try_parse_json(F.when(whole != "", whole)), F.try_parse_json(F.when(inner != "", inner)))
+    return F.coalesce(strict_json(whole), strict_json(F.regexp_extract(whole, r"(?s)\{.*\}", 0)))
 
 
 def shortened(text: Column, chars: int) -> Column:
