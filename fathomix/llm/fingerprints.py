@@ -58,8 +58,8 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     # Each anchor becomes '#'; lookarounds leave the blanks to both neighbours.
     marked = F.regexp_replace(plain, rf"(?<= ){trie_pattern(words)}(?= )", "#")
     marked = F.concat(F.lit(" #"), marked)
-    chains = F.regexp_extract_all(marked, F.lit(rf" #(?=((?: #)*(?: [^ #]+(?: #)*){{1,{chain}}}))"), F.lit(1))
-    hashed = F.transform(chains, lambda c: F.hash(F.regexp_replace(c, r"[ #]+", " ")))
+    chains = F.regexp_extract_all(marked, F.lit(rf" #(?=(?: #)*( [^ #]+(?:(?: #)* [^ #]+){{0,{chain - 1}}}))"), F.lit(1))
+    hashed = F.transform(chains, lambda c: F.hash(F.regexp_replace(c, r"(?: #)+", "")))
     return F.array_sort(F.array_distinct(hashed))
 
 
