@@ -4,9 +4,9 @@ Queries and data are dealt into blocks by hash; each pair of a query block and a
 data block is one task's group. There both sides are indexed by a cover tree: a
 node has one of its points as centre, a covering radius, and children around
 centres that lie further apart than the scale of the next level. Pairs of nodes are
-visited best bound first; a pair is pruned when the centres' inner product plus
+visited from the roots down; a pair is pruned when the centres' inner product plus
 what the covering radii allow is below the worst kth score among the node's
-queries. What remains is scored by one matrix product a pair of leaves. The best of
+queries. What remains is scored leaf by leaf, best bound first. The best of
 all blocks are merged by query.
 
 Scores are exact: components are integers, and double arithmetic is used only
@@ -21,15 +21,17 @@ smaller id; an empty table gives no rows. Other columns are not carried.
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Points a leaf holds, and children a node has, at most: radii are measured, so bounds stay true.
-LEAF, FANOUT = 64, 24
+#: Points a leaf of data and one of queries holds, and children a node has, at most: radii
+#: are measured, so bounds stay true. Queries are few and spread, so their leaves are small.
+LEAF, QUERY_LEAF, FANOUT = 64, 8, 24
+#: Points that are scored together, about.
+BATCH = 512
 #: Rows of a block of data, and of queries, about.
 DATA_ROWS, QUERY_ROWS = 4_096, 2_048
 _SAFE = 2.0**52
@@ -38,8 +40,8 @@ _SAFE = 2.0**52
 class CoverTree:
     """Nodes as parallel lists; a leaf owns a slice of `order`."""
 
-    def __init__(self, points: np.ndarray) -> None:
-        self.points = points
+    def __init__(self, points: np.ndarray, leaf: int = LEAF) -> None:
+        self.points, self.leaf = points, leaf
         self.center: list[int] = []
         self.radius: list[float] = []
         self.children: list[list[int]] = []
@@ -59,7 +61,7 @@ class CoverTree:
         self.radius.append(radius)
         self.children.append([])
         self.members.append(None)
-        if len(idx) <= LEAF or radius == 0.0:
+        if len(idx) <= self.leaf or radius == 0.0:
             self.members[node] = idx
             return node
         # The next level: centres more than half the radius apart, each point with its nearest.
@@ -82,14 +84,14 @@ class CoverTree:
 
 class DualSearch:
     def __init__(self, queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int) -> None:
-        self.q, self.d = CoverTree(queries), CoverTree(data)
+        self.q, self.d = CoverTree(queries, QUERY_LEAF), CoverTree(data)
         self.query_ids, self.data_ids, self.k = query_ids, data_ids, k
         self.q_norm = np.sqrt((queries**2).sum(axis=1))
         self.d_norm = np.sqrt((data**2).sum(axis=1))
         self.best = np.full((len(queries), k), -np.inf)
         self.best_ids = np.full((len(queries), k), np.iinfo(np.int64).max)
         self.q_rows = self._all_members(self.q)
-        self.pruned = self.scored = 0
+        self.pruned = self.compared = 0
 
     @staticmethod
     def _all_members(tree: CoverTree) -> list[np.ndarray]:
@@ -98,34 +100,64 @@ class DualSearch:
             rows[node] = tree.members[node] if tree.members[node] is not None else np.concatenate([rows[c] for c in tree.children[node]])
         return rows
 
-    def bound(self, a: int, b: int) -> float:
-        """No inner product of a query below a and a point below b exceeds this."""
-        qc, dc = self.q.center[a], self.d.center[b]
-        ra, rb = self.q.radius[a], self.d.radius[b]
-        value = float(self.q.points[qc] @ self.d.points[dc]) + ra * self.d_norm[dc] + rb * self.q_norm[qc] + ra * rb
-        return value + 1e-9 * abs(value) + 1e-6
+    def bounds(self, a: int, nodes: np.ndarray) -> np.ndarray:
+        """No inner product of a query below a and a point below a node exceeds the node's bound."""
+        qc, ra = self.q.center[a], self.q.radius[a]
+        centers, rb = self.d_centers[nodes], self.d_radii[nodes]
+        value = self.d.points[centers] @ self.q.points[qc] + ra * self.d_norm[centers] + rb * self.q_norm[qc] + ra * rb
+        return value + 1e-9 * np.abs(value) + 1e-6
 
     def run(self) -> None:
         if not len(self.q.center) or not len(self.d.center):
             return
-        heap = [(-self.bound(0, 0), 0, 0)]
-        while heap:
-            minus, a, b = heapq.heappop(heap)
-            if -minus < self.best[self.q_rows[a], -1].min():
-                self.pruned += 1
-                continue
-            qs, ds = self.q.children[a], self.d.children[b]
-            if not qs and not ds:
-                self._score(self.q.members[a], self.d.members[b])
-            elif qs and (not ds or self.q.radius[a] >= self.d.radius[b]):
-                for c in qs:
-                    heapq.heappush(heap, (-self.bound(c, b), c, b))
+        self.d_centers, self.d_radii = np.array(self.d.center), np.array(self.d.radius)
+        self.d_inner = np.array([bool(c) for c in self.d.children])
+        leaves = np.flatnonzero(~self.d_inner)
+        # A first leaf of data for every leaf of queries gives kth scores to prune with from the root on.
+        begun: dict[int, int] = {}
+        for a in (n for n, c in enumerate(self.q.children) if not c):
+            begun[a] = int(leaves[self.bounds(a, leaves).argmax()])
+            self._score(self.q.members[a], self.d.members[begun[a]])
+        stack = [(0, np.array([0]))]
+        while stack:
+            a, nodes = stack.pop()
+            rows, is_leaf = self.q_rows[a], not self.q.children[a]
+            # Nodes of data as fine as the query node are kept; coarser ones give way to their children.
+            ready = []
+            while len(nodes):
+                keep = self.bounds(a, nodes) >= self.best[rows, -1].min()
+                self.pruned += int((~keep).sum())
+                nodes = nodes[keep]
+                coarse = self.d_inner[nodes] & (is_leaf | (self.d_radii[nodes] > self.q.radius[a]))
+                ready.append(nodes[~coarse])
+                nodes = np.array([c for n in nodes[coarse] for c in self.d.children[n]], np.int64)
+            left = np.concatenate(ready) if ready else nodes
+            if is_leaf:
+                self._finish(rows, left[left != begun[a]])
             else:
-                for c in ds:
-                    heapq.heappush(heap, (-self.bound(a, c), a, c))
+                stack += [(c, left) for c in self.q.children[a]]
+
+    def _finish(self, rows: np.ndarray, leaves: np.ndarray) -> None:
+        """Scores leaves of data, best bound first and some together, while one can still help a query."""
+        centers = self.d_centers[leaves]
+        own = self.q.points[rows] @ self.d.points[centers].T + self.q_norm[rows][:, None] * self.d_radii[leaves]
+        own += 1e-9 * np.abs(own) + 1e-6
+        order = np.argsort(-own.max(axis=0)) if len(leaves) else leaves
+        leaves, own = leaves[order], own[:, order]
+        while len(leaves):
+            helps = own >= self.best[rows, -1][:, None]
+            useful = helps.any(axis=0)
+            self.pruned += int((~useful).sum())
+            leaves, own, helps = leaves[useful], own[:, useful], helps[:, useful]
+            sizes = np.cumsum([len(self.d.members[n]) for n in leaves])
+            n = int(np.searchsorted(sizes, BATCH)) + 1
+            live = helps[:, :n].any(axis=1)
+            if live.any():
+                self._score(rows[live], np.concatenate([self.d.members[x] for x in leaves[:n]]))
+            leaves, own = leaves[n:], own[:, n:]
 
     def _score(self, rows: np.ndarray, cols: np.ndarray) -> None:
-        self.scored += 1
+        self.compared += len(rows) * len(cols)
         scores = self.q.points[rows] @ self.d.points[cols].T
         ids = np.broadcast_to(self.data_ids[cols], scores.shape)
         scores[self.query_ids[rows][:, None] == ids] = -np.inf
