@@ -163,6 +163,11 @@ def codec(path: str) -> RankBPE:
     return RankBPE(path)
 
 
+def _shipped(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Id and text as pandas gets them: ids as strings, as a long column with nulls would become doubles."""
+    return docs.select(F.col(id_column).cast("long").cast("string").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Encodes every whole text: (id, n_tokens long, ids array of int, decoded string)."""
 
@@ -174,8 +179,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_column: str = "doc_id"
                 ids = [own.encode(t or "") for t in part["text"]]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": [len(x) for x in ids], "ids": ids, "decoded": [own.decode(x) for x in ids]})
 
-    narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return narrow.mapInPandas(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
+    rows = _shipped(docs, id_column, text_column).mapInPandas(run, "doc_id string, n_tokens long, ids array<int>, decoded string")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def encode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -192,5 +197,5 @@ def encode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
                 text_sha.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
             yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": counts, "ids_sha256": ids_sha, "decoded_sha256": text_sha})
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = _shipped(docs, "doc_id", "text").mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -32,3 +32,21 @@ def test_random(pair):
     alphabet = list("ab  \n\t's'1! é́ßñ漢#<|>") + ["<|endoftext|>", " the", "ing", "\r\n", "  ", "\x1d"]
     for _ in range(1500):
         same(pair, "".join(rng.choice(alphabet) for _ in range(rng.randrange(30))))
+
+
+def test_frames(spark):
+    import hashlib
+
+    from fathomix.llm import bpe
+
+    rows = [(1, "hello world"), (2, None), (3, ""), (None, "null id"), (5, "x y " * 30_000), (1, "hello world")]
+    df = spark.createDataFrame([(i, t, 9) for i, t in rows], "doc_id long, text string, n_tokens int")
+    library = Tokenizer.from_file(PATH)
+    want = []
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    got = [(None if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_digests(df, PATH).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sorted((r.n_tokens, r.decoded) for r in bpe.encode_documents(df, PATH).collect()) == sorted((w[1], t or "") for w, (_, t) in zip(want, rows))
+    assert bpe.encode_digests(df.limit(0), PATH).count() == 0
