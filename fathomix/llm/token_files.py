@@ -13,8 +13,9 @@ Blocks unpack by one vectorised gather, and any document is reached through its
 end positions and the block offsets without reading what lies before.
 
 Text is encoded in chunks between white space, as this vocabulary drops white
-space and never merges across it; the library encodes each new chunk once and a
-bounded cache keeps the result. Texts with U+001C to U+001F, which the library
+space and never merges across it. The library encodes all new chunks of a batch as
+one text; a bounded cache keeps what belongs to each, told apart by the tokens that
+end a word. Texts with U+001C to U+001F, which the library
 does not count as white space though Python does, go to the library whole.
 
 Defined results: a null text counts as empty, and a document of no text has the
@@ -28,12 +29,14 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fathomix.llm import blobstore
@@ -49,6 +52,8 @@ FILE_DOCS = 8_192
 #: Chunks a worker's cache holds in each of two generations, and the longest one it keeps.
 CACHE_HALF, CACHE_CHUNK = 250_000, 64
 
+#: Fixed value: what the vocabulary's pre-tokenizer makes a word.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _CONTROL = re.compile("[\x1c-\x1f]")
 
 
@@ -81,12 +86,31 @@ class ChunkEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.bits = bits_for(self.library.get_vocab_size(with_added_tokens=True))
+        ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            ends[i] = token.endswith("</w>")
+        self._ends = ends
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Of each chunk its ids, by one call: a chunk of k words ends at its kth word-ending token."""
+        joined = " ".join(chunks)
+        if not chunks or "<|" in joined:
+            return self._encode(chunks)
+        ids = np.array(self.library.encode(joined, add_special_tokens=False).ids, dtype="<u4")
+        counts = [len(_PIECES.findall((c if c.isascii() else unicodedata.normalize("NFC", c)).lower())) for c in chunks]
+        ends = np.flatnonzero(self._ends[ids])
+        last = np.cumsum(counts)
+        if last[-1] != len(ends) or min(counts) < 1:
+            return self._encode(chunks)
+        cuts = (ends[last - 1] + 1) * 4
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text, its ids as little-endian unsigned 32-bit integers."""
         split = [None if _CONTROL.search(t) else t.split() for t in texts]
@@ -101,7 +125,7 @@ class ChunkEncoder:
                         local[p] = b""
                     else:
                         young[p] = kept
-        for p, ids in zip(new, self._encode(new)):
+        for p, ids in zip(new, self._encode_chunks(new)):
             if len(p) <= CACHE_CHUNK:
                 young[p] = ids
                 del local[p]
