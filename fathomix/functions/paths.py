@@ -140,4 +140,4 @@ def parse_since(text: str | None) -> int | None:
     if text is None or text.strip().lower() in ("", "none", "null", "yyyy-mm-dd"):
         return None
     day = datetime.datetime.strptime(text.strip(), "%Y-%m-%d").replace(tzinfo=datetime.timezone.utc)
-    return int(day.timestamp()) * 1_000_000_000
+    return min(int(day.timestamp()) * 1_000_000_000, 2**63 - 1)
