@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from fathomix.work import work_dir
+
 #: Ranges of one table never exceed this many, so their bounds stay a small literal.
 MAX_BUCKETS = 65_536
 #: Stands for a null id in orderings: before every other id.
@@ -18,25 +19,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is missing, a local session gets a temporary folder of its
-    own and a cluster falls back on its warehouse, never on a machine's own disk.
-    """
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.fathomix.work", None)
-    if not base:
-        if context.master.startswith("local") and not context.master.startswith("local-cluster"):
-            base = f"file://{tempfile.mkdtemp(prefix='fathomix-')}"
-        else:
-            base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/fathomix-work"
-        spark.conf.set("spark.fathomix.work", base)
-    return base if "://" in base or ":/" in base else f"file://{base}"
-
-
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark).rstrip('/')}/fathomix-{label}-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/fathomix-{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

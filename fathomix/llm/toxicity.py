@@ -5,20 +5,22 @@ negation, reported speech, other, end of clause), and a grammar transducer reads
 the symbols of each clause. The grammar is the composition of four small
 transducers: one marks hits, one strengthens a hit near a target ("you"), one
 weakens a hit after a negation, one weakens a hit in reported speech. A document
-scores by its matched clauses, not by words taken alone, and a logistic function
-turns the sum into a score from 0 to 1.
+scores by its matched clauses, not by words taken alone: the weights of all hits,
+each times what the grammar makes of it, a term for length and an intercept sum up,
+and a logistic function turns the sum into a score from 0 to 1.
 
 Fixed word lists hold the closed classes (targets, negations, verbs of saying,
-threats) and some common insults. Further insult stems and all weights are
-learned from labelled rows outside the held-out fold: prefixes of words weighed by
-their smoothed log-odds, over a sample of at most SAMPLE labelled documents of
-which each group of near-equal ones counts once. Label, language, source and id
+threats) and some common insults. Insult stems and their weights are learned from
+labelled rows outside the held-out fold, at most SAMPLE documents of which each
+group of near-equal ones counts once: stems are word prefixes that depend on the
+label by a likelihood-ratio test, weights come from a ridge logistic regression on
+the grammar's output. Label, language, source and id
 never enter a score.
 
 Defined results: a null or empty text scores as a text without hits; a null id is
 scored, counts as held out, and is never learned from; repeated rows get equal
 scores; a document labelled twice is learned from once, as toxic if any label says
-so; without labels of both kinds fixed weights are used; an empty table gives no
+so; without labels of both kinds the fixed words alone count; an empty table gives no
 rows. Columns other than doc_id and text are not carried by scoring.
 """
 
@@ -49,12 +51,12 @@ SYMBOLS = 7
 #: Words over which a target or negation reaches.
 REACH = 4
 #: Labelled documents that stems and weights are learned from, and stems kept, at most.
-SAMPLE, MOST_STEMS = 20_000, 4_000
-#: Lengths of learned prefixes; support a stem needs in toxic documents; share of its documents that are toxic.
-PREFIXES, LEAST_SUPPORT, LEAST_SHARE = (4, 5, 6), 5, 0.9
+SAMPLE, MOST_STEMS = 20_000, 300
+#: Lengths of learned prefixes; least toxic documents with a stem, test statistic, and ratio of its rates.
+PREFIXES, LEAST_SUPPORT, LEAST_G2, LEAST_RATIO = (3, 4, 5, 6, 7), 5, 20.0, 3.0
 FOLDS = 5
-#: The weight of a fixed word before anything is learned.
-PRIOR_WEIGHT = 3.0
+#: The weight of a fixed word, and the intercept before anything is learned.
+PRIOR_WEIGHT, PRIOR_INTERCEPT = 3.0, -4.0
 
 WORDS = re.compile(r"\w+")
 TOKENS = re.compile(r"\w+|[.!?;:\n\"“”«»]")
@@ -124,17 +126,23 @@ def grammar() -> tuple[list[list[tuple[int, float]]], int]:
 
 @dataclass(frozen=True)
 class Model:
-    """stems: prefix to weight; slope and intercept of the logistic on the sum of clause scores."""
+    """stems: prefix to weight; length: of the logarithm of the number of words; intercept."""
 
     stems: dict[str, float]
-    slope: float
+    length: float
     intercept: float
 
     def lexicon(self) -> Lexicon:
         return _lexicon(tuple(sorted(self.stems.items())))
 
     def score(self, text: str) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * self.lexicon().total(text) + self.intercept))))
+        n, clauses = self.lexicon().read(text)
+        z = self.intercept + self.length * word_scale(n) + math.fsum(s for s, _, _ in clauses)
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def word_scale(n: int) -> float:
+    return math.log1p(n) - 6
 
 
 class Lexicon:
@@ -147,41 +155,58 @@ class Lexicon:
         self.stems = stems
         self.lengths = sorted({len(s) for s in stems}, reverse=True)
         #: First letters with which a word can only be a hit; others are never looked at closely.
-        self.gates = {w[:4] for w in (*THREATS, *INSULTS)} | {s[:4] for s in stems}
+        self.gates = {w[:3] for w in (*THREATS, *INSULTS)} | {s[:3] for s in stems}
 
-    def symbol(self, word: str) -> tuple[int, float]:
+    def symbol(self, word: str) -> tuple[int, float, str]:
         for n in self.lengths:
             if len(word) >= n and (weight := self.stems.get(word[:n])) is not None:
-                return INSULT, weight
-        return self.fixed.get(word, (OTHER, 0.0))
+                return INSULT, weight, word[:n]
+        return *self.fixed.get(word, (OTHER, 0.0)), ""
 
-    def clauses(self, text: str) -> list[tuple[float, int, int]]:
-        """(score, start, end) of each clause with a hit."""
-        lower = text.lower()
-        gates = self.gates
-        if not any(w[:4] in gates for w in set(WORDS.findall(lower))):
-            return []
+    def hits(self, lower: str) -> Iterator[tuple[int, float, float, str, int, int]]:
+        """(clause, weight, factor, stem, start, end) of each hit, by the grammar."""
         table, state = grammar()
-        out, score, begun, end = [], 0.0, 0, 0
+        clause = 0
         for m in TOKENS.finditer(lower):
             token = m.group()
             if not (token[0].isalnum() or token[0] == "_"):
                 if token in ".!?;\n":
-                    if score:
-                        out.append((score, begun, m.end()))
-                    score, begun = 0.0, m.end()
+                    clause += 1
                     state = table[state][BREAK][0]
                 continue
-            symbol, weight = self.symbol(token)
+            symbol, weight, stem = self.symbol(token)
             state, factor = table[state][symbol]
-            score += weight * factor
-            end = m.end()
-        if score:
-            out.append((score, begun, end))
-        return out
+            if factor and (symbol == INSULT or symbol == THREAT):
+                yield clause, weight, factor, stem, m.start(), m.end()
 
-    def total(self, text: str) -> float:
-        return math.fsum(math.log1p(s) for s, _, _ in self.clauses(text))
+    def _words(self, lower: str) -> tuple[int, bool]:
+        words, gates = WORDS.findall(lower), self.gates
+        return len(words), any(w[:3] in gates for w in set(words))
+
+    def read(self, text: str) -> tuple[int, list[tuple[float, int, int]]]:
+        """The number of words, and (score, start, end) of each clause with a hit."""
+        lower = text.lower()
+        n, some = self._words(lower)
+        out: dict[int, tuple[float, int, int]] = {}
+        for clause, weight, factor, _, start, end in self.hits(lower) if some else ():
+            score, begun, _ = out.get(clause, (0.0, start, end))
+            out[clause] = (score + weight * factor, begun, end)
+        return n, list(out.values())
+
+    def clauses(self, text: str) -> list[tuple[float, int, int]]:
+        return self.read(text)[1]
+
+    def features(self, text: str) -> tuple[int, float, dict[str, float]]:
+        """The number of words, what fixed words score, and the summed factors of each stem."""
+        lower = text.lower()
+        n, some = self._words(lower)
+        fixed, out = 0.0, {}
+        for _, weight, factor, stem, _, _ in self.hits(lower) if some else ():
+            if stem:
+                out[stem] = out.get(stem, 0.0) + factor
+            else:
+                fixed += weight * factor
+        return n, fixed, out
 
 
 @lru_cache(maxsize=2)
@@ -217,8 +242,18 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(once.select("row.toxic", "row.text"), "toxicity-sample")
 
 
-def learn_stems(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
-    """Prefixes that stand almost only in toxic documents, by smoothed log-odds."""
+def likelihood_ratio(pos, neg, toxic: int, clean: int):
+    """The G-squared statistic of a stem in pos of toxic and neg of clean documents."""
+    n, k = toxic + clean, pos + neg
+
+    def term(seen, expected):
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    return 2 * (term(pos, k * toxic / n) + term(neg, k * clean / n) + term(toxic - pos, (n - k) * toxic / n) + term(clean - neg, (n - k) * clean / n))
+
+
+def learn_stems(sample: DataFrame, toxic: int, clean: int) -> list[str]:
+    """The prefixes that tell most about the label, at most MOST_STEMS."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -230,51 +265,70 @@ def learn_stems(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
             yield pd.DataFrame({"stem": list(seen), "pos": [v[1] for v in seen.values()], "neg": [v[0] for v in seen.values()]})
 
     least = max(LEAST_SUPPORT, math.ceil(0.01 * toxic))
-    stems = (
+    pos, neg = F.col("pos"), F.col("neg")
+    found = (
         sample.select("toxic", "text")
         .mapInPandas(count, "stem string, pos long, neg long")
         .groupBy("stem")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .where((F.col("pos") >= least) & (F.col("pos") >= LEAST_SHARE * (F.col("pos") + F.col("neg"))))
-        .orderBy(F.desc("pos"), "stem")
+        .where((pos >= least) & (pos / toxic > LEAST_RATIO * (neg + 0.5) / clean))
+        .withColumn("g2", likelihood_ratio(pos, neg, toxic, clean))
+        .where(F.col("g2") >= LEAST_G2)
+        .orderBy(F.desc("g2"), "stem")
         .limit(MOST_STEMS)
         .collect()
     )
-    odds = math.log((clean + 1) / (toxic + 1))
-    return {r["stem"]: max(0.1, math.log((r["pos"] + 0.5) / (r["neg"] + 0.5)) + odds) for r in stems}
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.01) -> tuple[float, float]:
-    """Slope and intercept by Newton's method, each kind of label weighing as it occurs."""
-    if len(set(y.tolist())) < 2:
-        return 1.5, -3.0
-    design, w = np.stack([x, np.ones_like(x)], 1), np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        grad = design.T @ (p - y) + l2 * w
-        hess = (design * (p * (1 - p))[:, None]).T @ design + (l2 + 1e-9) * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+    return [r["stem"] for r in found]
+
+
+def fit_weights(x: np.ndarray, fixed: np.ndarray, y: np.ndarray, l2: float = 0.5) -> np.ndarray:
+    """Ridge logistic regression by Newton's method, with fixed an offset; the intercept is last."""
+    design = np.c_[x, np.ones(len(x))]
+    w, ridge = np.zeros(design.shape[1]), np.full(design.shape[1], l2)
+    ridge[-1] = 1e-3
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(design @ w + fixed, -30, 30)))
+        hess = (design * (p * (1 - p))[:, None]).T @ design + np.diag(ridge + 1e-9)
+        step = np.clip(np.linalg.solve(hess, design.T @ (p - y) + ridge * w), -3, 3)
+        w -= step
+        if np.abs(step).max() < 1e-6:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     sample = training_sample(docs, labels)
     kinds = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = sum(n for k, n in kinds.items() if k), kinds.get(0, 0)
-    stems = learn_stems(sample, toxic, clean) if toxic and clean else {}
-    raw = Model(stems, 1.0, 0.0)
+    if not toxic or not clean:
+        return Model({}, 0.0, PRIOR_INTERCEPT)
+    stems = learn_stems(sample, toxic, clean)
+    raw = Model(dict.fromkeys(stems, 1.0), 0.0, 0.0)
+    number = {stem: k for k, stem in enumerate(stems)}
 
-    def totals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = raw.lexicon()
         for frame in frames:
-            yield pd.DataFrame({"toxic": frame["toxic"], "total": [own.total(t or "") for t in frame["text"]]})
-
-    rows = sample.select("toxic", "text").mapInPandas(totals, "toxic int, total double").toPandas()  # SAMPLE rows of two numbers
-    slope, intercept = fit_logistic(rows["total"].to_numpy(float), (rows["toxic"].to_numpy() != 0).astype(float))
-    return Model(stems, max(slope, 0.0), intercept)
+            read = [own.features(t or "") for t in frame["text"]]
+            yield pd.DataFrame(
+                {
+                    "toxic": frame["toxic"],
+                    "words": [n for n, _, _ in read],
+                    "fixed": [f for _, f, _ in read],
+                    "stems": [[number[k] for k in sorted(o)] for _, _, o in read],
+                    "factors": [[o[k] for k in sorted(o)] for _, _, o in read],
+                }
+            )
+
+    # At most SAMPLE rows of a few numbers each; ordered, so that reruns add up alike.
+    rows = sample.select("toxic", "text").mapInPandas(features, "toxic int, words long, fixed double, stems array<int>, factors array<double>").collect()
+    rows.sort(key=lambda r: (r["toxic"], r["words"], r["fixed"], r["stems"], r["factors"]))
+    x = np.zeros((len(rows), len(stems) + 1))
+    for i, r in enumerate(rows):
+        x[i, r["stems"]] = r["factors"]
+        x[i, -1] = word_scale(r["words"])
+    w = fit_weights(x, np.array([r["fixed"] for r in rows]), np.array([r["toxic"] != 0 for r in rows], float))
+    return Model({stem: float(v) for stem, v in zip(stems, w)}, float(w[-2]), float(w[-1]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
