@@ -30,7 +30,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -132,21 +132,23 @@ class Model:
     length: float
     intercept: float
 
+    @cached_property
     def lexicon(self) -> Lexicon:
-        return _lexicon(tuple(sorted(self.stems.items())))
+        return Lexicon(self.stems)
 
     def score(self, text: str) -> float:
-        n, clauses = self.lexicon().read(text)
+        n, clauses = self.lexicon.read(text)
         z = self.intercept + self.length * word_scale(n) + math.fsum(s for s, _, _ in clauses)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def word_scale(n: int) -> float:
-    return math.log1p(n) - 6
+    """The logarithm of a length, held to a range so that the term does not run away for the shortest and longest texts."""
+    return max(-2.0, min(3.0, math.log1p(n) - 6))
 
 
 class Lexicon:
-    """Maps words to symbols and weights: whole words of the fixed lists, then the longest stem."""
+    """Maps words to symbols and weights: by their stems or else, as whole words, by the fixed lists."""
 
     def __init__(self, stems: dict[str, float]) -> None:
         self.fixed: dict[str, tuple[int, float]] = {}
@@ -157,14 +159,15 @@ class Lexicon:
         #: First letters with which a word can only be a hit; others are never looked at closely.
         self.gates = {w[:3] for w in (*THREATS, *INSULTS)} | {s[:3] for s in stems}
 
-    def symbol(self, word: str) -> tuple[int, float, str]:
-        for n in self.lengths:
-            if len(word) >= n and (weight := self.stems.get(word[:n])) is not None:
-                return INSULT, weight, word[:n]
-        return *self.fixed.get(word, (OTHER, 0.0)), ""
+    def symbol(self, word: str) -> tuple[int, float, tuple[str, ...]]:
+        """Symbol, weight and stems of a word: all its stems add up, so that a rare ending still counts."""
+        found = tuple(word[:n] for n in self.lengths if len(word) >= n and word[:n] in self.stems)
+        if found:
+            return INSULT, math.fsum(self.stems[s] for s in found), found
+        return *self.fixed.get(word, (OTHER, 0.0)), ()
 
-    def hits(self, lower: str) -> Iterator[tuple[int, float, float, str, int, int]]:
-        """(clause, weight, factor, stem, start, end) of each hit, by the grammar."""
+    def hits(self, lower: str) -> Iterator[tuple[int, float, float, tuple[str, ...], int, int]]:
+        """(clause, weight, factor, stems, start, end) of each hit, by the grammar."""
         table, state = grammar()
         clause = 0
         for m in TOKENS.finditer(lower):
@@ -174,10 +177,10 @@ class Lexicon:
                     clause += 1
                     state = table[state][BREAK][0]
                 continue
-            symbol, weight, stem = self.symbol(token)
+            symbol, weight, stems = self.symbol(token)
             state, factor = table[state][symbol]
             if factor and (symbol == INSULT or symbol == THREAT):
-                yield clause, weight, factor, stem, m.start(), m.end()
+                yield clause, weight, factor, stems, m.start(), m.end()
 
     def _words(self, lower: str) -> tuple[int, bool]:
         words, gates = WORDS.findall(lower), self.gates
@@ -201,19 +204,14 @@ class Lexicon:
         lower = text.lower()
         n, some = self._words(lower)
         fixed, out = 0.0, {}
-        for _, weight, factor, stem, _, _ in self.hits(lower) if some else ():
-            if stem:
+        for _, weight, factor, stems, _, _ in self.hits(lower) if some else ():
+            for stem in stems:
                 out[stem] = out.get(stem, 0.0) + factor
-            else:
+            if not stems:
                 fixed += weight * factor
         return n, fixed, out
 
 
-@lru_cache(maxsize=2)
-def _lexicon(items: tuple[tuple[str, float], ...]) -> Lexicon:
-    return Lexicon(dict(items))
-
-
 def fold(doc_id):
     """crc32 of the id as text, modulo FOLDS; null counts as 0, the held-out fold."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS, F.lit(0))
@@ -307,7 +305,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     number = {stem: k for k, stem in enumerate(stems)}
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = raw.lexicon()
+        own = raw.lexicon
         for frame in frames:
             read = [own.features(t or "") for t in frame["text"]]
             yield pd.DataFrame(
