@@ -37,6 +37,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from fathomix.llm.chunk_cache import GenerationCache
 from fathomix.llm.common import materialize
 
 # Closed word classes in English, French, German and Spanish.
@@ -47,7 +48,7 @@ THREATS = "kill murder shoot stab strangle beat burn destroy hang slaughter tuer
 INSULTS = "idiot moron scum clown loser worthless pathetic disgusting trash stupid imbecile crétin salaud connard dummkopf arschloch gilipollas imbécil".split()
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK = range(7)
-SYMBOLS = 7
+SYMBOLS, HITS = 7, (INSULT, THREAT)
 #: Words over which a target or negation reaches.
 REACH = 4
 #: Labelled documents that stems and weights are learned from, and stems kept, at most.
@@ -59,7 +60,7 @@ FOLDS = 5
 PRIOR_WEIGHT, PRIOR_INTERCEPT = 3.0, -4.0
 
 WORDS = re.compile(r"\w+")
-TOKENS = re.compile(r"\w+|[.!?;:\n\"“”«»]")
+CLAUSES = re.compile(r"[^.!?;\n]+")
 
 
 @dataclass(frozen=True)
@@ -156,8 +157,7 @@ class Lexicon:
             self.fixed |= {w: (symbol, PRIOR_WEIGHT) for w in words}
         self.stems = stems
         self.lengths = sorted({len(s) for s in stems}, reverse=True)
-        #: First letters with which a word can only be a hit; others are never looked at closely.
-        self.gates = {w[:3] for w in (*THREATS, *INSULTS)} | {s[:3] for s in stems}
+        self._symbols = GenerationCache(self.symbol, 100_000)
 
     def symbol(self, word: str) -> tuple[int, float, tuple[str, ...]]:
         """Symbol, weight and stems of a word: all its stems add up, so that a rare ending still counts."""
@@ -166,35 +166,36 @@ class Lexicon:
             return INSULT, math.fsum(self.stems[s] for s in found), found
         return *self.fixed.get(word, (OTHER, 0.0)), ()
 
-    def hits(self, lower: str) -> Iterator[tuple[int, float, float, tuple[str, ...], int, int]]:
-        """(clause, weight, factor, stems, start, end) of each hit, by the grammar."""
-        table, state = grammar()
-        clause = 0
-        for m in TOKENS.finditer(lower):
-            token = m.group()
-            if not (token[0].isalnum() or token[0] == "_"):
-                if token in ".!?;\n":
-                    clause += 1
-                    state = table[state][BREAK][0]
+    def hits(self, lower: str, words: list[str]) -> Iterator[tuple[int, float, float, tuple[str, ...], int, int]]:
+        """(clause, weight, factor, stems, start, end) of each hit, by the grammar.
+
+        The grammar begins anew with each clause, so clauses without a word that can
+        hit are passed over.
+        """
+        symbols = self._symbols
+        able = {w for w in set(words) if symbols[w][0] in HITS}
+        if not able:
+            return
+        table, start = grammar()
+        for clause, m in enumerate(CLAUSES.finditer(lower)):
+            if able.isdisjoint(WORDS.findall(m.group())):
                 continue
-            symbol, weight, stems = self.symbol(token)
-            state, factor = table[state][symbol]
-            if factor and (symbol == INSULT or symbol == THREAT):
-                yield clause, weight, factor, stems, m.start(), m.end()
-
-    def _words(self, lower: str) -> tuple[int, bool]:
-        words, gates = WORDS.findall(lower), self.gates
-        return len(words), any(w[:3] in gates for w in set(words))
+            state = start
+            for t in WORDS.finditer(lower, m.start(), m.end()):
+                symbol, weight, stems = symbols[t.group()]
+                state, factor = table[state][symbol]
+                if factor and symbol in HITS:
+                    yield clause, weight, factor, stems, t.start(), t.end()
 
     def read(self, text: str) -> tuple[int, list[tuple[float, int, int]]]:
         """The number of words, and (score, start, end) of each clause with a hit."""
         lower = text.lower()
-        n, some = self._words(lower)
+        words = WORDS.findall(lower)
         out: dict[int, tuple[float, int, int]] = {}
-        for clause, weight, factor, _, start, end in self.hits(lower) if some else ():
+        for clause, weight, factor, _, start, end in self.hits(lower, words):
             score, begun, _ = out.get(clause, (0.0, start, end))
             out[clause] = (score + weight * factor, begun, end)
-        return n, list(out.values())
+        return len(words), list(out.values())
 
     def clauses(self, text: str) -> list[tuple[float, int, int]]:
         return self.read(text)[1]
@@ -202,14 +203,14 @@ class Lexicon:
     def features(self, text: str) -> tuple[int, float, dict[str, float]]:
         """The number of words, what fixed words score, and the summed factors of each stem."""
         lower = text.lower()
-        n, some = self._words(lower)
+        words = WORDS.findall(lower)
         fixed, out = 0.0, {}
-        for _, weight, factor, stems, _, _ in self.hits(lower) if some else ():
+        for _, weight, factor, stems, _, _ in self.hits(lower, words):
             for stem in stems:
                 out[stem] = out.get(stem, 0.0) + factor
             if not stems:
                 fixed += weight * factor
-        return n, fixed, out
+        return len(words), fixed, out
 
 
 def fold(doc_id):
