@@ -94,14 +94,14 @@ class ChunkEncoder:
         self._old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """Of each chunk its ids, by one call: a chunk of k words ends at its kth word-ending token."""
         joined = " ".join(chunks)
         if not chunks or "<|" in joined:
             return self._encode(chunks)
-        ids = np.array(self.library.encode(joined, add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
         counts = [len(_PIECES.findall((c if c.isascii() else unicodedata.normalize("NFC", c)).lower())) for c in chunks]
         ends = np.flatnonzero(self._ends[ids])
         last = np.cumsum(counts)
