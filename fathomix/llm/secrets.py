@@ -1,39 +1,43 @@
 """Operator 9: secret scans by a linear-chain conditional random field.
 
-Three fixed patterns give the base spans. Beside them a CRF tags tokens as secret
-begin (B), inside (I) or outside (O) from a token's shape, its neighbouring words
-and features of its file, decoded by Viterbi. It is trained here, on the base
-spans of a bounded sample of documents as labels; the patterns themselves are no
-features, so it also tags what looks and stands like a secret without the form
-that a pattern asks for.
-
-A token can be B or I only if it has at least MIN_TOKEN characters of the secret
-alphabet, one of them a digit; all others are O by the model's definition. Given
-its neighbours' tags a chain falls apart at tokens that are certainly O, so only
-the runs of admissible tokens are scored, and the result is that of decoding
-every whole text.
+Three fixed patterns give the base spans. Beside them a CRF tags every token of a
+text as secret begin (B), inside (I) or outside (O) from the token's shape, its
+neighbouring words, the distance to a keyword and features of its file, decoded by
+Viterbi over the whole text. It is trained here, on the base spans of a bounded
+sample of documents as labels and on the fixed sentences of seed_windows(), which
+hold secrets without the patterns' forms and keywords without a secret; the patterns
+themselves are no features.
+
+A stretch of B and I raises the best path only if its scores outweigh those of O, so
+tokens in no stretch whose bounds sum to zero or more are certainly O. Only what is
+left is decoded one by one, and the result is that of decoding the whole text.
+
+A token is a run of letters, digits and +/_.=@- (without dots, @ and hyphens at its end),
+so a secret with other marks is found in parts, if at all.
 
 Defined results: a null text counts as empty and has no spans; a null id stays
 null; equal rows get equal spans; overlapping spans of one kind cannot occur, and
 a CRF span that overlaps a base span is part of that one and not listed; without
-any labelled token the CRF adds nothing; an empty table gives no rows. Columns
-other than doc_id and text are not carried by the scan; redaction keeps all.
+any labelled token the CRF knows the fixed sentences only; an empty table gives no
+rows. Columns other than doc_id and text are not carried by the scan; redaction
+keeps all.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
+import random
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from fathomix.llm.common import materialize
+
 #: Kinds in their order, and the base patterns.
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -42,15 +46,16 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-MIN_TOKEN = 8
-ALPHABET = "A-Za-z0-9+/_.=-"
-ADMISSIBLE = re.compile(rf"(?<![{ALPHABET}])(?=[^\s]{{{MIN_TOKEN}}})[A-Za-z+/_.=-]*+[0-9][{ALPHABET}]*")
-DIGIT = re.compile(r"[0-9]")
-WORD = re.compile(r"\w+")
-#: Hashed features, and how far neighbouring words are looked for.
-FEATURES, NEAR = 1 << 14, 48
-#: Documents of which at most this many windows, from at most this many documents, train the model.
-TRAIN_DOCS, TRAIN_WINDOWS = 20_000, 40_000
+LETTERS = "A-Za-z0-9_\u00c0-\u024f"
+#: What may stand between a keyword and its value, then the token itself; other scripts' words stand alone.
+LEAD = re.compile(r"""(?:[:=]\x20{0,2})?["'`]?""")
+TOKEN = re.compile(rf"""{LEAD.pattern}[+/-]{{0,2}}[{LETTERS}](?:[{LETTERS}+/.@-]*[{LETTERS}+/])?(?:={{1,2}}(?![{LETTERS}"'`]))?|[^\W\x00-\u024f]+""")
+#: Hashed features, and how many tokens back a keyword is looked for.
+FEATURES, KEY_REACH = 1 << 16, 4
+#: Documents of which at most this many windows, from at most this many documents, train the model; tokens of a window.
+TRAIN_DOCS, TRAIN_WINDOWS, WINDOW = 20_000, 18_000, 12
+#: Characters that are scored at once, and tokens whose scores are kept.
+BLOCK, KEPT = 2_000_000, 200_000
 O, B, I = 0, 1, 2
 _NEVER = -1e9
 
@@ -67,77 +72,160 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def chains(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of admissible tokens with no other word between them."""
-    if not DIGIT.search(text):
-        return []
-    out: list[list[tuple[int, int]]] = []
-    last = -1
-    for m in ADMISSIBLE.finditer(text):
-        s, e = m.span()
-        if e - s < MIN_TOKEN:
-            continue
-        if out and s - last <= NEAR and not WORD.search(text, last, s):
-            out[-1].append((s, e))
-        else:
-            out.append([(s, e)])
-        last = e
-    return out
+    """All tokens of the text as one chain; none without tokens."""
+    run = [(LEAD.match(text, m.start()).end(), m.end()) for m in TOKEN.finditer(text)]
+    return [run] if run else []
+
+
+_CLASSES = str.maketrans({**dict.fromkeys("abcdefghijklmnopqrstuvwxyz", "a"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), **dict.fromkeys("0123456789", "0")})
+_REPEATS = re.compile(r"(.)\1+")
+_CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]{5}", re.IGNORECASE)
+_KEY = re.compile("|".join(KEYWORDS), re.IGNORECASE)
+_DIGIT = re.compile(r"[0-9]")
+_HEXES = re.compile(r"[0-9a-fA-F]+")
 
 
 def shape(token: str) -> str:
     """Character classes, runs shortened to two, eight at most."""
-    classes = re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "0", token)))
-    return re.sub(r"(.)\1+", r"\1\1", classes)[:8]
+    return _REPEATS.sub(r"\1\1", token.translate(_CLASSES))[:8]
 
 
-def token_features(text: str, s: int, e: int, file_features: list[str]) -> list[int]:
-    token = text[s:e]
-    before = WORD.findall(text[max(0, s - NEAR) : s].lower())[-2:]
-    after = WORD.findall(text[e : e + NEAR].lower())[:1]
+@lru_cache(maxsize=50_000)
+def _hashed(name: str) -> int:
+    return crc32(name.encode("utf-8", "surrogatepass")) % FEATURES
+
+
+def signature(lead: str, token: str) -> tuple:
+    """What a token and the mark before it say by themselves, one value a feature; most tokens share theirs with others."""
     n = len(token)
-    counts = Counter(token)
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
-    digits = sum(c.isdigit() for c in token)
-    names = [
+    classes = token.translate(_CLASSES)
+    digits, upper, lower = classes.count("0"), classes.count("A"), classes.count("a")
+    squeezed = _REPEATS.sub(r"\1\1", classes)
+    length = min(n // 4, 10)
+    return (
         "bias",
-        f"shape={shape(token)}",
-        f"length={min(n // 4, 16)}",
-        f"entropy={int(entropy * 2)}",
-        f"digits={int(8 * digits / n)}",
-        f"hex={set(token) <= set('0123456789abcdef')}",
-        f"case={any(c.islower() for c in token)}{any(c.isupper() for c in token)}",
-        f"marks={''.join(sorted(set(token) - set('0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ')))}",
-        f"head={token[:4]}" if token[:4].isupper() else f"head={shape(token[:4])}",
-        f"sign={text[max(0, s - 3) : s].strip()[-1:]}",
-        *(f"before{i}={w}" for i, w in enumerate(reversed(before))),
-        f"key={any(k in w for w in before for k in KEYWORDS)}",
-        *(f"after={w}" for w in after),
-        *file_features,
-    ]
-    return [crc32(x.encode("utf-8", "surrogatepass")) % FEATURES for x in names]
-
-
-def file_features(text: str, runs: list[list[tuple[int, int]]]) -> list[str]:
-    lower = text.lower()
-    return [f"file-runs={min(len(runs), 8).bit_length()}", f"file-key={any(k in lower for k in KEYWORDS)}", f"file-size={len(text).bit_length()}"]
+        squeezed[:8],
+        length,
+        ((digits > 0) + (upper > 0) + (lower > 0), length),
+        (8 * len(set(token)) // n, length),
+        8 * digits // n,
+        digits > 0 and lower + upper > 0,
+        (n >= 8 and digits > 0 and _HEXES.fullmatch(token) is not None, upper > 0),
+        min(4, squeezed.count("aA")),
+        _CONSONANTS.search(token) is not None,
+        n - digits - upper - lower > 0,
+        "@" in token and "." in token.partition("@")[2],
+        token[:4] if upper >= 4 and token[:4].isupper() and token[:4].isalpha() else squeezed[:4],
+        lead.replace(" ", ""),
+    )
+
+
+def own_features(signed: tuple) -> list[int]:
+    return [_hashed(f"own{i}={v}") for i, v in enumerate(signed)]
 
 
-def windows(text: str) -> list[list[list[int]]]:
-    runs = chains(text)
-    about = file_features(text, runs) if runs else []
-    return [[token_features(text, s, e, about) for s, e in run] for run in runs]
+def context_hash(token: str) -> int:
+    """A neighbour as a feature, to which its role is added: in lower case, without marks around it, all numbers alike."""
+    word = "0" if _DIGIT.search(token) else token.strip("+/_.=-").lower()
+    return crc32(word.encode("utf-8", "surrogatepass"))
+
+
+def is_key(token: str) -> bool:
+    return _KEY.search(token) is not None
+
+
+#: Roles of a neighbour: where it stands, and what is added to its hash.
+ROLES = ((-1, 0), (-2, 20_011), (1, 40_009))
+
+
+def sequence_features(words: list[tuple[str, str]], about: list[str], at: range | None = None) -> list[list[int]]:
+    """Of each of the (lead, token) in words, or of those at some places only."""
+    fixed = [_hashed(x) for x in about]
+    out = []
+    for j in at if at is not None else range(len(words)):
+        f = own_features(signature(*words[j]))
+        f += [(context_hash(words[j + d][1]) + role) % FEATURES for d, role in ROLES if 0 <= j + d < len(words)]
+        f += [_hashed(f"key{k}") for k in range(1, KEY_REACH + 1) if j >= k and is_key(words[j - k][1])]
+        out.append(f + fixed)
+    return out
+
+
+def split_lead(match: str) -> tuple[str, str]:
+    if match[0].isalnum():
+        return "", match
+    at = LEAD.match(match).end()
+    return match[:at], match[at:]
+
+
+def token_features(text: str, s: int, e: int, file_features: list[str]) -> list[int]:
+    """Of one token, by the texts around it."""
+    words = [split_lead(m) for m in TOKEN.findall(text)]
+    return sequence_features(words, file_features, range(at := chains(text)[0].index((s, e)), at + 1))[0]
+
+
+def file_features(text: str, runs: list[list[tuple[int, int]]] | None = None) -> list[str]:
+    lower = text.lower()
+    return [f"file-key={any(k in lower for k in KEYWORDS)}", f"file-size={len(text).bit_length()}"]
 
 
 def silver_tags(run: list[tuple[int, int]], base: list[tuple[int, int, int, int]]) -> list[int]:
     """Tags of a run by the base spans: B where a secret begins, I where it goes on."""
-    tags, inside = [], None
+    secrets: list[list[int]] = []
+    for start, end in sorted((start, end) for _, _, end, start in base):
+        if secrets and start < secrets[-1][1]:
+            secrets[-1][1] = max(end, secrets[-1][1])
+        else:
+            secrets.append([start, end])
+    tags, inside, k = [], None, 0
     for s, e in run:
-        hit = next((k for k, (_, _, end, start) in enumerate(base) if start < e and s < end), None)
+        while k < len(secrets) and secrets[k][1] <= s:
+            k += 1
+        hit = k if k < len(secrets) and secrets[k][0] < e else None
         tags.append(O if hit is None else I if hit == inside else B)
         inside = hit
     return tags
 
 
+def seed_windows() -> list[tuple[list[tuple[str, str]], list[int]]]:
+    """Fixed sentences with tags: values of many forms after a keyword and a verb or sign, and keywords without a value."""
+    rng = random.Random(9)
+    common = "the my new old a this our please use with for account server user login now and then today it here said note that in of to on was very much also still about".split()
+    names = "correct horse battery staple hunter dragon summer winter purple monkey river silver garden coffee orange letter castle planet shadow rocket".split()
+    plain = "reset required wrong expired invalid incorrect changed forgotten missing needed strong weak unknown safe protected stored rotated important mandatory different generated authentication documentation available unfortunately".split()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def value() -> str:
+        form = rng.randrange(9)
+        if form < 2:
+            return "".join(rng.choice(names).title() for _ in range(rng.randrange(2, 5)))
+        if form < 4:
+            return rng.choice([rng.choice(names), rng.choice(names).title()]) + str(rng.randrange(10 ** rng.randrange(1, 5)))
+        pool = [letters, letters + letters.upper(), letters + letters.upper() + "0123456789", "0123456789ABCDEF"][max(0, form - 5)]
+        return "".join(rng.choice(pool) for _ in range(rng.randrange(10, 33)))
+
+    out = []
+    for i in range(2400):
+        key = rng.choice(["password", "passwd", "secret", "token", "apikey", "api_key", "secret key", "access token", "Password", "Secret"]).split()
+        link = rng.choice([["is"], ["was"], [], ["is", "now"], ["="], [":"]])
+        before = [rng.choice(common) for _ in range(rng.randrange(0, 6))]
+        after = [rng.choice(common) for _ in range(rng.randrange(0, 4))]
+        if i % 2:
+            end, tags = [value()], [B]
+        else:
+            end = [*(["not"] if rng.random() < 0.2 else []), *(["too"] if rng.random() < 0.1 else []), rng.choice(plain + common)]
+            tags = [O] * len(end)
+            link = [] if link in (["="], [":"]) else link
+        sign = link[0] if link in (["="], [":"]) else ""
+        middle = [] if sign else link
+        words = [("", w) for w in before + key + middle] + [(sign, end[0])] + [("", w) for w in end[1:] + after]
+        n = len(before) + len(key) + len(middle)
+        out.append((words, [O] * n + tags + [O] * len(after)))
+        if i % 4 == 1:  # letters with nothing near that calls them a secret
+            words = [("", w) for w in before] + [("", end[0] if end[0].isalpha() else rng.choice(names + common + plain))] + [("", w) for w in after]
+            out.append((words, [O] * len(words)))
+    return out
+
+
 @dataclass
 class CRF:
     """emission: (FEATURES, 3); transition: (3, 3), from row to column; start: (3,)."""
@@ -147,19 +235,120 @@ class CRF:
     start: np.ndarray
 
     def viterbi(self, features: list[list[int]]) -> list[int]:
-        scores = [self.emission[f].sum(axis=0) for f in features]
-        best = scores[0] + self.start
-        back = []
-        for s in scores[1:]:
-            paths = best[:, None] + self.transition
-            back.append(paths.argmax(axis=0))
-            best = paths.max(axis=0) + s
-        at = int(best.argmax())
-        tags = [at]
-        for pointers in reversed(back):
-            at = int(pointers[at])
-            tags.append(at)
-        return tags[::-1]
+        return best_path([self.emission[f].sum(axis=0) for f in features], self.transition, self.start)
+
+
+def best_path(scores: list[np.ndarray], transition: np.ndarray, start: np.ndarray, end: np.ndarray | float = 0.0) -> list[int]:
+    best = scores[0] + start
+    back = []
+    for s in scores[1:]:
+        paths = best[:, None] + transition
+        back.append(paths.argmax(axis=0))
+        best = paths.max(axis=0) + s
+    at = int((best + end).argmax())
+    tags = [at]
+    for pointers in reversed(back):
+        at = int(pointers[at])
+        tags.append(at)
+    return tags[::-1]
+
+
+class Tagger:
+    """Tags whole texts by a CRF; scores of tokens are kept by their text.
+
+    A row holds, for B and I less those of O, what a token scores itself and adds as
+    a neighbour in each role; the last column says whether it is a keyword.
+    """
+
+    def __init__(self, model: CRF) -> None:
+        self.model = model
+        self.gains = model.emission[:, 1:] - model.emission[:, :1]
+        self.keys = [self.gains[_hashed(f"key{k}")] for k in range(1, KEY_REACH + 1)]
+        t, stay = model.transition, model.transition[O, O]
+        #: The most that transitions can add for a token of a stretch of B and I, its end included.
+        self.bound = max(float((t[:, 1:] - stay).max()), float((model.start[1:] - model.start[O]).max())) + max(0.0, float((t[1:, O] - stay).max()))
+        self.near = np.concatenate([np.roll(self.gains, -role, axis=0) for _, role in ROLES], axis=1)
+        self.signs: dict[tuple, tuple[float, float]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.ids: dict[str, int] = {"": 0}
+        self.rows = np.zeros((1, 9))
+        self.new: list[tuple[float, float, int, bool]] = []
+
+    def number(self, match: str) -> int:
+        i = self.ids[match] = len(self.ids)
+        lead, token = split_lead(match)
+        signed = signature(lead, token)
+        own = self.signs.get(signed)
+        if own is None:
+            if len(self.signs) >= KEPT:
+                self.signs.clear()
+            own = self.signs[signed] = tuple(self.gains[own_features(signed)].sum(axis=0).tolist())
+        self.new.append((*own, context_hash(token) % FEATURES, is_key(token)))
+        return i
+
+    def settle(self) -> None:
+        """Rows of the tokens that have been numbered since."""
+        if self.new:
+            new = np.array(self.new, dtype=float)
+            self.rows = np.concatenate([self.rows, np.concatenate([new[:, :2], self.near[new[:, 2].astype(int)], new[:, 3:]], axis=1)])
+            self.new = []
+
+    def tags(self, texts: list[str]) -> Iterator[list[tuple[int, int]]]:
+        """(token, tag) of each token of each text that is not O."""
+        block, size = [], 0
+        for text in texts:
+            block.append(text)
+            size += len(text)
+            if size >= BLOCK:
+                yield from self._tags(block)
+                block, size = [], 0
+        yield from self._tags(block)
+
+    def _tags(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        if len(self.ids) > KEPT:
+            self.forget()
+        # KEY_REACH empty tokens stand between texts, so that none is a neighbour of another text's.
+        ids, begins, counts, about, known = [0] * KEY_REACH, [], [], [], self.ids
+        for text in texts:
+            found = TOKEN.findall(text)
+            begins.append(len(ids))
+            counts.append(len(found))
+            about.append(self.gains[[_hashed(x) for x in file_features(text)]].sum(axis=0))
+            ids += [known[x] if x in known else self.number(x) for x in found]
+            ids += [0] * KEY_REACH
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        if not sum(counts):
+            return out
+        self.settle()
+        ids, counts = np.array(ids), np.array(counts)
+        scores = self.rows[ids, :2]
+        for k, (d, _) in enumerate(ROLES, 1):
+            near = self.rows[ids, 2 * k : 2 * k + 2]
+            if d < 0:
+                scores[-d:] += near[:d]
+            else:
+                scores[:-d] += near[d:]
+        keys = np.flatnonzero(self.rows[ids, 8])
+        for k, gain in enumerate(self.keys, 1):
+            scores[keys + k] += gain
+        real = ids > 0
+        scores[real] += np.repeat(np.array(about), counts, axis=0)
+        most = np.where(real, scores.max(axis=1) + self.bound, -1e6)
+        total = np.concatenate([[0.0], np.cumsum(most)])
+        before = total[1:] - np.minimum.accumulate(total)[:-1]
+        after = np.maximum.accumulate(total[:0:-1])[::-1] - total[:-1]
+        at = np.flatnonzero(real & (before + after - most >= -1e-3))
+        first = np.array(begins)
+        for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else []:
+            i, j = int(part[0]), int(part[-1]) + 1
+            doc = int(np.searchsorted(first, i, side="right")) - 1
+            start = self.model.start if i == first[doc] else self.model.transition[O]
+            end = 0.0 if j == first[doc] + counts[doc] else self.model.transition[:, O]
+            path = best_path([np.array([0.0, *x]) for x in scores[i:j]], self.model.transition, start, end)
+            out[doc] += [(i + k - int(first[doc]), tag) for k, tag in enumerate(path) if tag != O]
+        return out
 
 
 def train_crf(sequences: list[list[list[int]]], tags: list[list[int]], rounds: int = 120, rate: float = 0.15, l2: float = 1e-4) -> CRF | None:
@@ -179,6 +368,7 @@ def train_crf(sequences: list[list[list[int]]], tags: list[list[int]], rounds: i
     first = np.array([0.0, 0.0, _NEVER])
     params = [np.zeros((FEATURES + 1, 3)), np.zeros((3, 3)), np.zeros(3)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+    flat = np.ascontiguousarray(feats[mask].T)
     onehot = np.eye(3)[gold] * mask[..., None]
     pairs = mask[:, 1:]
     seen_pairs = np.einsum("nla,nlb->ab", onehot[:, :-1] * pairs[..., None], onehot[:, 1:])
@@ -189,7 +379,8 @@ def train_crf(sequences: list[list[list[int]]], tags: list[list[int]], rounds: i
 
     for step in range(1, rounds + 1):
         emission, transition, start = params
-        e = emission[feats].sum(axis=2)
+        e = np.zeros((n, length, 3))
+        e[mask] = sum(emission[f] for f in flat)
         t = transition + allowed
         forward = np.empty((n, length, 3))
         forward[:, 0] = e[:, 0] + start + first
@@ -204,7 +395,8 @@ def train_crf(sequences: list[list[list[int]]], tags: list[list[int]], rounds: i
         unary = np.exp(forward + backward - z[:, None, None]) * mask[..., None]
         diff = unary - onehot
         grad_e = np.zeros_like(emission)
-        np.add.at(grad_e, feats.reshape(n * length, width).T, diff.reshape(1, n * length, 3))
+        for tag in range(3):
+            grad_e[:, tag] = np.bincount(flat.ravel(), np.tile(diff[mask][:, tag], width), FEATURES + 1)
         grad_e[FEATURES] = 0
         grad_t = -seen_pairs
         if length > 1:
@@ -222,28 +414,46 @@ def train_crf(sequences: list[list[list[int]]], tags: list[list[int]], rounds: i
 
 def all_spans(text: str, model: CRF | None) -> list[tuple[int, int, int, int]]:
     """Base spans and the CRF's further ones, by start, then kind."""
-    base = base_spans(text)
-    if model is None:
-        return base
-    runs = chains(text)
-    more = []
-    if runs:
-        about = file_features(text, runs)
-        for run in runs:
-            tags = model.viterbi([token_features(text, s, e, about) for s, e in run])
-            for (s, e), tag in zip(run, tags):
-                if tag == I and more and more[-1][2] <= s:
-                    more[-1] = (more[-1][0], 3, e, more[-1][3])
-                elif tag != O:
-                    more.append((s, 3, e, s))
-    return sorted(base + [x for x in more if not any(b[0] < x[2] and x[0] < b[2] for b in base)])
+    return next(spans_of([text], model and Tagger(model)))
+
+
+def spans_of(texts: list[str], tagger: Tagger | None) -> Iterator[list[tuple[int, int, int, int]]]:
+    """all_spans() of each text."""
+    for text, tags in zip(texts, tagger.tags(texts) if tagger else [[]] * len(texts)):
+        base = base_spans(text)
+        if not tags:
+            yield base
+            continue
+        run, more = chains(text)[0], []
+        for j, tag in tags:
+            s, e = run[j]
+            if tag == I and more:
+                more[-1] = (more[-1][0], 3, e, more[-1][3])
+            else:
+                more.append((s, 3, e, s))
+        yield sorted(base + outside(more, base))
+
+
+def outside(spans: list[tuple[int, int, int, int]], base: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Spans that overlap no base span; both by start."""
+    out, k, reach = [], 0, 0
+    for span in spans:
+        while k < len(base) and base[k][0] < span[2]:
+            reach = max(reach, base[k][2])
+            k += 1
+        if reach <= span[0]:
+            out.append(span)
+    return out
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
-    """Runs of admissible tokens and their tags from a sample of at most about TRAIN_DOCS documents.
+    """Windows of tokens, with leads, and their tags from a sample of at most about TRAIN_DOCS documents.
 
     The sample is fixed by a hash of the id, so reruns agree; the rest of the
-    table is not sampled anywhere.
+    table is not sampled anywhere. A keyword without a base span near it is no
+    proof of either kind, so its window is left to the fixed sentences. Of the other
+    windows without a secret a fixed part is taken by a hash of their words. kind is 0
+    with a secret, 1 with a digit, else 2.
     """
     rows = max(1, docs.count())
     share = min(1.0, TRAIN_DOCS / rows)
@@ -253,22 +463,41 @@ def training_rows(docs: DataFrame) -> DataFrame:
         for frame in frames:
             out = []
             for text in frame["text"]:
-                text = text or ""
-                runs = chains(text)
-                if runs:
-                    base, about = base_spans(text), file_features(text, runs)
-                    out += [([token_features(text, s, e, about) for s, e in run[:16]], silver_tags(run, base)[:16]) for run in runs[:64]]
-            yield pd.DataFrame({"features": [[",".join(map(str, f)) for f in x] for x, _ in out], "tags": [t for _, t in out]})
+                found, base = TOKEN.findall(text), base_spans(text)
+                about = file_features(text)
+                tags = silver_tags(chains(text)[0], base) if base and found else [O] * len(found)
+                named = list(map(is_key, found)) if about[0] == "file-key=True" else []
+                for i in range(0, len(found), WINDOW):
+                    part = tags[i : i + WINDOW]
+                    words = found[i : i + WINDOW]
+                    if any(part):
+                        kind = 0
+                    elif any(named[max(0, i - KEY_REACH) : i + WINDOW]):
+                        continue
+                    else:
+                        joined = " ".join(words)
+                        kind = 1 if _DIGIT.search(joined) else 2
+                        if crc32(joined.encode("utf-8", "surrogatepass")) % (1, 4, 16)[kind]:
+                            continue
+                    out.append((kind, words, part, about))
+            yield pd.DataFrame(out, columns=["kind", "words", "tags", "about"])
 
     text = F.col("text").cast("string")
-    return chosen.where(text.rlike("[0-9]")).select(text.alias("text")).mapInPandas(run, "features array<string>, tags array<int>")
+    return chosen.where(text != "").select(text.alias("text")).mapInPandas(run, "kind int, words array<string>, tags array<int>, about array<string>")
 
 
 def fit(docs: DataFrame) -> CRF | None:
-    """Trains on the sample; what reaches the driver is bounded by TRAIN_WINDOWS."""
-    rows = training_rows(docs).groupBy("features", "tags").count().orderBy(F.xxhash64("features", "tags")).limit(TRAIN_WINDOWS).collect()
-    sequences = [[[int(x) for x in f.split(",")] for f in r["features"]] for r in rows]
-    return train_crf(sequences, [list(r["tags"]) for r in rows]) if rows else None
+    """Trains on the sample and the fixed sentences; what reaches the driver is bounded by TRAIN_WINDOWS, a third for each kind of window."""
+    rows = materialize(training_rows(docs), "secrets-windows").distinct().withColumn("at", F.xxhash64("words", "tags", "about"))
+    kept = [rows.where(F.col("kind") == k).orderBy("at").limit(TRAIN_WINDOWS // 3).collect() for k in range(3)]
+    sequences, tags = [], []
+    for r in (r for part in kept for r in part):
+        sequences.append(sequence_features([split_lead(w) for w in r["words"]], r["about"]))
+        tags.append(list(r["tags"]))
+    for words, t in seed_windows():
+        sequences.append(sequence_features(words, []))
+        tags.append(t)
+    return train_crf(sequences, tags, rounds=80)
 
 
 def scan(docs: DataFrame, model: CRF | None) -> DataFrame:
@@ -276,8 +505,9 @@ def scan(docs: DataFrame, model: CRF | None) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tagger = model and Tagger(model)
         for frame in frames:
-            found = [[{"kind": KINDS[k], "start": s, "end": e, "secret_start": v} for s, k, e, v in all_spans(t or "", model)] for t in frame["text"]]
+            found = [[{"kind": KINDS[k], "start": s, "end": e, "secret_start": v} for s, k, e, v in spans] for spans in spans_of([t or "" for t in frame["text"]], tagger)]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "spans": found})
 
     schema = "doc_id string, spans array<struct<kind string, start int, end int, secret_start int>>"
@@ -307,14 +537,19 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     columns = docs.columns
 
     @F.pandas_udf("string")
-    def cleaned(texts: pd.Series) -> pd.Series:
+    def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tagger = model and Tagger(model)
+        for texts in batches:
+            yield masked(texts, tagger)
+
+    def masked(texts: pd.Series, tagger: Tagger | None) -> pd.Series:
         out = []
-        for text in texts:
+        for text, spans in zip(texts, spans_of([t or "" for t in texts], tagger)):
             if text is None:
                 out.append(None)
                 continue
             at, parts = 0, []
-            for _, _, end, secret in all_spans(text, model):
+            for _, _, end, secret in spans:
                 if end > at:
                     parts += [text[at : max(at, secret)], mask]
                     at = end

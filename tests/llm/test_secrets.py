@@ -99,3 +99,29 @@ def test_redact(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.span_digests(df).count() == 0 and S.redact(df).count() == 0
+
+
+def test_letters_short_values_and_ordinary_words(spark):
+    texts = ["my password is CorrectHorseBatteryStaple", "the secret key is AbCdEfGhKlMnOpQr ok", "password is hunter2", "the password is required", "a fine day with 555-1234-9999"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(not S.base_spans(t) for t in texts)
+    out = {r.doc_id: r.text for r in S.redact(df).collect()}
+    assert [out[i] for i in range(5)] == ["my password is [SECRET]", "the secret key is [SECRET] ok", "password is [SECRET]", texts[3], texts[4]]
+
+
+def test_tagger_decodes_whole_texts(spark, sf_dir):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    texts = [t for t in TEXTS if t] + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(20).collect()]
+    for shift in (0.0, -4.0, -8.0):
+        emission, transition, start = rng.normal(size=(S.FEATURES, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+        emission[:, 1:] += shift / 15
+        transition[S.O, S.I] = start[S.I] = -1e9
+        model = S.CRF(emission, transition, start)
+        for text, tags in zip(texts, S.Tagger(model).tags(texts)):
+            run = S.chains(text)[0]
+            words = [S.split_lead(m) for m in S.TOKEN.findall(text)]
+            features = S.sequence_features(words, S.file_features(text))
+            assert features[0] == S.token_features(text, *run[0], S.file_features(text))
+            assert tags == [(j, tag) for j, tag in enumerate(model.viterbi(features)) if tag != S.O]
