@@ -76,3 +76,12 @@ def test_held_out_accuracy(spark):
     rows = X.classify(docs, labels).where("held_out").join(labels, "doc_id").where("lang = 'en'" if "lang" in labels.columns else "true").collect()
     right = sum(r.predicted == r.toxic for r in rows)
     assert right >= 0.9 * len(rows)
+
+
+def test_short_toxic_text_is_predicted(spark):
+    docs, labels = corpus()
+    d = spark.createDataFrame([x[:2] for x in docs] + [(9001, ""), (9003, "zorkelneu and zorkelhaft")], "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r for r in X.classify(d, labels).where("doc_id > 9000").collect()}
+    assert rows[9003].predicted == 1 and rows[9003].score >= 0.5 and rows[9001].predicted == 0
+    assert [r.doc_id for r in X.keep_clean(d, labels).where("doc_id > 9000").collect()] == [9001]
