@@ -3,8 +3,9 @@
 Words become symbols through a lexicon transducer (insult, threat, target,
 negation, reported speech, other, end of clause), and a grammar transducer reads
 the symbols of each clause. The grammar is the composition of four small
-transducers: one marks hits, one strengthens a hit near a target ("you"), one
-weakens a hit after a negation, one weakens a hit in reported speech. A document
+transducers: one marks hits and makes a threat near a target a whole one, one
+strengthens a hit after a target ("you"), one weakens a hit after a negation, one
+weakens a hit in reported speech. A document
 scores by its matched clauses, not by words taken alone: the weights of all hits,
 each times what the grammar makes of it, a term for length and an intercept sum up,
 and a logistic function turns the sum into a score from 0 to 1.
@@ -83,18 +84,44 @@ def counter_machine(trigger: int, factor: float) -> Transducer:
 
 
 def latch_machine(trigger: int, factor: float) -> Transducer:
-    """Multiplies all hits after trigger in the same clause by factor."""
+    """Multiplies all hits after trigger in the same clause by factor, and what a target adds to a threat."""
     step = {}
     for on in (0, 1):
         for symbol in range(SYMBOLS):
             after = 1 if symbol == trigger else 0 if symbol == BREAK else on
-            step[on, symbol] = (after, factor if on and symbol in (INSULT, THREAT) else 1.0)
+            step[on, symbol] = (after, factor if on and symbol in (INSULT, THREAT, TARGET) else 1.0)
     return Transducer(step, 0)
 
 
-def hit_machine(threat_without_target: float) -> Transducer:
-    """Passes insults whole; a threat counts in part, until a target stands near it."""
-    return Transducer({(0, s): (0, 1.0 if s == INSULT else threat_without_target if s == THREAT else 0.0) for s in range(SYMBOLS)}, 0)
+def hit_machine(threat_without_target: float, negated: float) -> Transducer:
+    """Passes insults whole; a threat counts in part, until a target stands within REACH words on either side.
+
+    A target that follows pays what is missing of each threat that waits for one,
+    times negated where the threat followed a negation. A state holds the words that
+    the last target and the last negation still reach, and the waiting threats, by
+    age: 0 for none, 1 for one, 2 for a negated one.
+    """
+    rest = {0: 0.0, 1: 1 - threat_without_target, 2: (1 - threat_without_target) * negated}
+    start = (0, 0, (0,) * REACH)
+    step, todo, seen = {}, [start], {start}
+    while todo:
+        state = todo.pop()
+        target, negation, waiting = state
+        for symbol in range(SYMBOLS):
+            weight, new = 1.0 if symbol == INSULT else 0.0, 0
+            if symbol == THREAT:
+                weight, new = (1.0, 0) if target else (threat_without_target, 2 if negation else 1)
+            elif symbol == TARGET:
+                weight, waiting_after = sum(rest[w] for w in waiting), (0,) * REACH
+            if symbol != TARGET:
+                waiting_after = (new, *waiting[:-1])
+            after = (REACH if symbol == TARGET else max(0, target - 1), REACH if symbol == NEGATION else max(0, negation - 1), waiting_after)
+            after = start if symbol == BREAK else after
+            step[state, symbol] = (after, weight)
+            if after not in seen:
+                seen.add(after)
+                todo.append(after)
+    return Transducer(step, start)
 
 
 def compose(a: Transducer, b: Transducer) -> Transducer:
@@ -115,7 +142,7 @@ def compose(a: Transducer, b: Transducer) -> Transducer:
 @lru_cache(maxsize=1)
 def grammar() -> tuple[list[list[tuple[int, float]]], int]:
     """The composed grammar as a table, with numbered states."""
-    machine = hit_machine(0.2)
+    machine = hit_machine(0.2, 0.3)
     for part in (counter_machine(TARGET, 1.6), counter_machine(NEGATION, 0.3), latch_machine(REPORT, 0.4)):
         machine = compose(machine, part)
     number = {s: i for i, s in enumerate(dict.fromkeys(s for s, _ in machine.step))}
@@ -167,7 +194,7 @@ class Lexicon:
         return *self.fixed.get(word, (OTHER, 0.0)), ()
 
     def hits(self, lower: str, words: list[str]) -> Iterator[tuple[int, float, float, tuple[str, ...], int, int]]:
-        """(clause, weight, factor, stems, start, end) of each hit, by the grammar.
+        """(clause, weight, factor, stems, start, end) of each hit and of each target that completes a threat, by the grammar.
 
         The grammar begins anew with each clause, so clauses without a word that can
         hit are passed over.
@@ -184,7 +211,7 @@ class Lexicon:
             for t in WORDS.finditer(lower, m.start(), m.end()):
                 symbol, weight, stems = symbols[t.group()]
                 state, factor = table[state][symbol]
-                if factor and symbol in HITS:
+                if factor:
                     yield clause, weight, factor, stems, t.start(), t.end()
 
     def read(self, text: str) -> tuple[int, list[tuple[float, int, int]]]:

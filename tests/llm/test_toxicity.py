@@ -85,3 +85,23 @@ def test_short_toxic_text_is_predicted(spark):
     rows = {r.doc_id: r for r in X.classify(d, labels).where("doc_id > 9000").collect()}
     assert rows[9003].predicted == 1 and rows[9003].score >= 0.5 and rows[9001].predicted == 0
     assert [r.doc_id for r in X.keep_clean(d, labels).where("doc_id > 9000").collect()] == [9001]
+
+
+def test_a_target_on_either_side_completes_a_threat():
+    import pytest
+
+    lexicon = X.Lexicon({})
+    one = lambda t: sum(s for s, _, _ in lexicon.clauses(t))
+    whole = pytest.approx(X.PRIOR_WEIGHT)
+    assert one("i will kill you") == whole and one("i will kill and burn you") == pytest.approx(2 * X.PRIOR_WEIGHT)
+    assert one("you will kill") == pytest.approx(1.6 * X.PRIOR_WEIGHT)
+    assert one("kill the process") == pytest.approx(0.2 * X.PRIOR_WEIGHT) == one("kill the process. you") == one("kill one two three four you")
+    assert one("kill one two three you") == whole == one("kill you you")
+    assert one("i will not kill you") == pytest.approx(0.3 * X.PRIOR_WEIGHT) == one("not one two three kill one two you")
+    assert one("he said it. i will kill you") == whole and one("it said kill you") == pytest.approx(0.4 * X.PRIOR_WEIGHT)
+
+
+def test_threats_alone_are_predicted(spark):
+    d = spark.createDataFrame([(1, "I will kill you. I will burn you."), (2, "kill the process. burn the disc.")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.predicted for r in X.classify(d, none).collect()} == {1: 1, 2: 0}
