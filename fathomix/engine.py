@@ -16,6 +16,7 @@ from fathomix.config import Config
 from fathomix.functions.paths import basename
 from fathomix.functions.text import json_in
 from fathomix.operators import archives, hybrid, indexing, knn, lexical, tables
+from fathomix.sources import media
 from fathomix.sources.files import binary_files, candidates, decoded, scan_folders
 
 SCHEMAS = {
@@ -95,11 +96,15 @@ class Engine:
         real = loaded.select("path", F.col("path").alias("real_path"), "size_bytes", "mtime_ns", "content", "type")
         every = real.unionByName(virtual.select(*real.columns))
 
-        errors = listed.where("error is not null").select("path", "error").distinct()
+        pdfs = every.where("type = 'pdf'").select("path", media.pdf_pages(F.col("content")).alias("read")).select("path", "read.pages", "read.error").persist()
+        errors = listed.where("error is not null").select("path", "error").unionByName(pdfs.where("error is not null").select("path", "error")).distinct()
         # Virtual files of an archive that is indexed again go with all that hangs on them.
         stale = known.join(fresh.select(F.col("path").alias("real_path")).distinct(), "real_path", "left_semi")
         old = tables.without(known, stale.where("path <> real_path"), "path")
         status = indexing.outcome(F.col("type"), F.col("size_bytes"), False, c.archives.size_threshold, F.col("error"))
+        # No reader of these is wired in: they are found by name only, and say so.
+        unread = F.col("type").isin("image", "video") & F.col("error").isNull()
+        status = F.when(unread, F.struct(F.lit("skipped").alias("status"), F.concat("type", F.lit(" content is not read")).alias("error_message"))).otherwise(status)
         rows = every.drop("content").join(errors, "path", "left").withColumn("o", status)
         rows = rows.select("path", "real_path", "type", "size_bytes", "mtime_ns", "o.status", "o.error_message", now.alias("created_at"), now.alias("updated_at"))
         fresh_ids = tables.dense_ids(tables.without(rows.select("path"), old, "path"), "file_id", self._next(known, "file_id"), "path")
@@ -110,11 +115,13 @@ class Engine:
         ids = files.select("path", "file_id")
         kinds = every.where("type = 'text'").join(ids, "path")
         texts = kinds.select("file_id", decoded(F.col("content"), c.indexing.max_text_bytes).alias("text"))
+        # A PDF's pages, parted by form feeds, are its text.
+        texts = texts.unionByName(pdfs.where("error is null").join(ids, "path").select("file_id", F.array_join("pages", "\f").alias("text")))
         chunks = indexing.text_chunks(texts, c.indexing.chunk_chars, c.indexing.chunk_overlap_chars)
         keep = tables.without(self.table("chunks"), stale.select("file_id"), "file_id")
         numbered = tables.dense_ids(chunks, "vector_id", self._next(self.table("chunks"), "vector_id"), "file_id", "chunk_no")
         nothing = F.lit(None).cast("long")
-        new_chunks = numbered.select("file_id", "chunk_no", F.lit("text").alias("chunk_type"), "start_offset", "end_offset", nothing.alias("start_time_ms"), nothing.alias("end_time_ms"), "snippet", "vector_id")
+        new_chunks = numbered.join(files.select("file_id", "type"), "file_id").select("file_id", "chunk_no", F.col("type").alias("chunk_type"), "start_offset", "end_offset", nothing.alias("start_time_ms"), nothing.alias("end_time_ms"), "snippet", "vector_id")
         self._replace("chunks", keep.unionByName(new_chunks))
         chunks = self.table("chunks")
         lost = chunks.join(self.table("vectors").select("vector_id"), "vector_id", "left_anti")
@@ -134,6 +141,7 @@ class Engine:
         self._replace("lexical", lex)
         counts = files.groupBy("status").count().collect()
         listed.unpersist()
+        pdfs.unpersist()
         return {r["status"]: r["count"] for r in counts}
 
     @staticmethod

@@ -59,3 +59,24 @@ def test_distinct_paths(spark, tmp_path):
     q = distinct_paths(source).writeStream.format("memory").queryName("paths").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.path for r in spark.table("paths").select(F.col("path")).collect()) == ["a", "b"]
+
+
+def test_pdf_content_and_files_without_a_reader(spark, tmp_path, monkeypatch):
+    from fathomix.sources import media
+
+    root = tmp_path / "files"
+    root.mkdir()
+    (root / "good.pdf").write_bytes(b"%PDF walrus")
+    (root / "bad.pdf").write_bytes(b"broken")
+    (root / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n")
+    (root / "b.mp4").write_bytes(b"0000")
+    pages = F.struct(F.array(F.lit("first page"), F.lit("a walrus")).alias("pages"), F.lit(None).cast("string").alias("error"))
+    failed = F.struct(F.lit(None).cast("array<string>").alias("pages"), F.lit("no pages").alias("error"))
+    monkeypatch.setattr(media, "pdf_pages", lambda c: F.when(c.cast("string").startswith("%PDF"), pages).otherwise(failed))
+    engine = Engine(spark, f"file://{tmp_path}/index", Config())
+    assert engine.index([str(root)]) == {"indexed": 1, "error": 1, "skipped": 2}
+    told = {r.path.rsplit("/", 1)[-1]: (r.status, r.error_message) for r in engine.table("files").collect()}
+    assert told["bad.pdf"] == ("error", "no pages") and told["a.png"] == ("skipped", "image content is not read") and told["b.mp4"][0] == "skipped"
+    assert [r.chunk_type for r in engine.table("chunks").collect()] == ["pdf"] and engine.table("vectors").count() == 1
+    top = engine.search("walrus", type_filter="pdf").first()
+    assert top.path.endswith("good.pdf") and {"fts", "vector:text"} <= set(top.sources)
