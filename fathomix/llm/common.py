@@ -11,6 +11,8 @@ from fathomix.work import work_dir
 
 #: Ranges of one table never exceed this many, so their bounds stay a small literal.
 MAX_BUCKETS = 65_536
+#: Rows a range that are sampled to place the bounds, about.
+SAMPLED = 128
 #: Stands for a null id in orderings: before every other id.
 NULL_ID = -(2**63)
 
@@ -38,28 +40,44 @@ def range_bounds(df: DataFrame, column: str, target_rows: int) -> list[int]:
     """Ascending upper bounds that cut a long column into ranges of near-equal row counts.
 
     Ranges hold about target_rows rows (more, once MAX_BUCKETS ranges are
-    reached). n bounds make n + 1 ranges; nulls belong to the first.
+    reached). n bounds make n + 1 ranges; nulls belong to the first. The bounds are
+    quantiles of a sample of about SAMPLED rows a range, so no task gathers more than
+    that; a value that holds several ranges' rows is a bound as often.
     """
     rows = df.count()
     n = max(1, min(MAX_BUCKETS, math.ceil(rows / target_rows)))
     if n == 1:
         return []
-    cuts = df.select(F.percentile_approx(column, [i / n for i in range(1, n)], 20 * n).alias("c")).first()["c"]
-    return sorted(set(cuts or []))
+    some = df if rows <= SAMPLED * n else df.sample(SAMPLED * n / rows, seed=11)
+    cuts = some.select(F.percentile_approx(column, [i / n for i in range(1, n)], 20 * n).alias("c")).first()["c"]
+    return sorted(cuts or [])
 
 
-def range_bucket(column: Column, bounds: list[int]) -> Column:
-    """The number of bounds below the value, by binary search in a literal array."""
+def range_bucket(column: Column, bounds: list[int], tie: Column | None = None) -> Column:
+    """The number of bounds below the value, by binary search in a literal array.
+
+    Where several bounds equal the value its rows are spread over their ranges, in
+    the order of tie, a 64-bit hash.
+    """
     if not bounds:
         return F.lit(0)
     table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
     steps = [2**k for k in reversed(range(len(bounds).bit_length()))]
-    found = F.aggregate(
-        F.array(*map(F.lit, steps)),
-        F.lit(0),
-        lambda at, step: F.when(F.get(table, at + step - 1) < column, at + step).otherwise(at),
-    )
-    return F.coalesce(found, F.lit(0))
+
+    def passed(is_below) -> Column:
+        found = F.aggregate(
+            F.array(*map(F.lit, steps)),
+            F.lit(0),
+            lambda at, step: F.when(is_below(F.get(table, at + step - 1)), at + step).otherwise(at),
+        )
+        return F.coalesce(found, F.lit(0))
+
+    below = passed(lambda bound: bound < column)
+    if tie is None or len(set(bounds)) == len(bounds):
+        return below
+    same = passed(lambda bound: bound <= column) - below
+    spread = F.floor((tie / float(2**64) + 0.5) * same).cast("int")
+    return F.when(same > 1, below + F.least(spread, same - 1)).otherwise(below)
 
 
 def placed(df: DataFrame, partitions: int, bucket: str) -> DataFrame:

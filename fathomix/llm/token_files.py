@@ -12,15 +12,16 @@ A file holds the documents of one ascending range of ids:
 Blocks unpack by one vectorised gather, and any document is reached through its
 end positions and the block offsets without reading what lies before.
 
-Text is encoded in chunks between white space, as this vocabulary drops white
-space and never merges across it. The library encodes all new chunks of a batch as
-one text; a bounded cache keeps what belongs to each, told apart by the tokens that
-end a word. Texts with U+001C to U+001F, which the library
-does not count as white space though Python does, go to the library whole.
+Text is encoded in chunks between ASCII white space, as this vocabulary drops white
+space and never merges across it. Arrow splits a batch and numbers its distinct
+chunks; the library encodes all new ones as one text, told apart by the tokens that
+end a word, and a bounded cache keeps them. One gather then gives the ids of the
+batch. They are shipped as 16-bit integers (32-bit for larger vocabularies) and
+packed once, block by block, as the file is written.
 
 Defined results: a null text counts as empty, and a document of no text has the
-end id alone; a null id sorts first; equal ids are ordered by their tokens, so
-repeated rows are interchangeable; an empty table gives no files and no rows.
+end id alone; a null id sorts first; rows of one id are
+ordered by hashes of their text and tokens, so repeated rows are interchangeable; an empty table gives no files and no rows.
 Further columns are not carried.
 """
 
@@ -29,14 +30,14 @@ from __future__ import annotations
 import os
 import re
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fathomix.llm import blobstore
@@ -49,12 +50,16 @@ FOOTER = struct.Struct("<QQQQQ8s")
 BLOCK = 65_536
 #: Documents in a file, about.
 FILE_DOCS = 8_192
-#: Chunks a worker's cache holds in each of two generations, and the longest one it keeps.
-CACHE_HALF, CACHE_CHUNK = 250_000, 64
+#: Chunks, and characters of them, that a worker keeps; bytes of text it encodes together, about.
+KEPT_CHUNKS, KEPT_CHARS, TOGETHER = 600_000, 16_000_000, 8_000_000
 
 #: Fixed value: what the vocabulary's pre-tokenizer makes a word.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-_CONTROL = re.compile("[\x1c-\x1f]")
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Marks that are no part of a contraction.
+MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+#: Beyond these letters lower case or normal form may depend on neighbours, so both are left to the library.
+WIDE = "[\u0130\u0250-\U0010ffff]"
+_WIDE = re.compile(WIDE)
 
 
 def bits_for(vocabulary_size: int) -> int:
@@ -62,9 +67,23 @@ def bits_for(vocabulary_size: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """ids, bits each, from the lowest bit up; the last byte is filled with zeros."""
-    lanes = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
-    return np.packbits(lanes[:, :bits], bitorder="little").tobytes()
+    """ids, bits each, from the lowest bit up; the last byte is filled with zeros.
+
+    Eight ids fill exactly `bits` bytes; each of the eight is shifted to its place in
+    those for all such groups at once.
+    """
+    if bits in (8, 16, 32):
+        return ids.astype(f"<u{bits // 8}").tobytes()
+    groups = -(-len(ids) // 8)
+    lanes = np.zeros((groups, 8), np.uint64)
+    lanes.reshape(-1)[: len(ids)] = ids
+    out = np.zeros((groups, bits), np.uint8)
+    for lane in range(8):
+        byte, shift = divmod(lane * bits, 8)
+        shifted = lanes[:, lane] << np.uint64(shift)
+        for k in range(-(-(shift + bits) // 8)):
+            out[:, byte + k] |= (shifted >> np.uint64(8 * k)).astype(np.uint8)
+    return out.tobytes()[: -(-len(ids) * bits // 8)]
 
 
 def unpack(raw: bytes, n: int, bits: int, first: int = 0) -> np.ndarray:
@@ -76,7 +95,10 @@ def unpack(raw: bytes, n: int, bits: int, first: int = 0) -> np.ndarray:
 
 
 class ChunkEncoder:
-    """Encodes texts with a tokenizers file, each new chunk once."""
+    """Encodes texts with a tokenizers file, each new chunk once.
+
+    A known chunk is a row: a slice of `_flat`, which holds the ids of all.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -85,59 +107,106 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.bits = bits_for(self.library.get_vocab_size(with_added_tokens=True))
-        ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.bits = bits_for(size)
+        #: How ids are held and shipped until they are packed in a file.
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self._ends = np.zeros(size, bool)
         for token, i in self.library.get_vocab(with_added_tokens=False).items():
-            ends[i] = token.endswith("</w>")
-        self._ends = ends
-        self._young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Of each chunk its ids, by one call: a chunk of k words ends at its kth word-ending token."""
+            self._ends[i] = token.endswith("</w>")
+        self._forget()
+
+    def _forget(self) -> None:
+        self._rows: dict[str, int] = {}
+        self._starts, self._lengths, self._flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, self.kind)
+        self._chars = 0
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and the number of each one's."""
+        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.array([len(x) for x in found], np.int64)
+        return np.fromiter((i for x in found for i in x), self.kind, int(lengths.sum())), lengths
+
+    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _library(), by one call: a chunk of k words ends at its kth word-ending token."""
         joined = " ".join(chunks)
-        if not chunks or "<|" in joined:
-            return self._encode(chunks)
-        ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
-        counts = [len(_PIECES.findall((c if c.isascii() else unicodedata.normalize("NFC", c)).lower())) for c in chunks]
+        if not chunks or "<|" in joined or _WIDE.search(joined):
+            return self._library(chunks)
+        ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.kind)
+        words = pc.count_substring_regex(pa.array(chunks, pa.large_string()), PIECES).to_numpy(zero_copy_only=False)
         ends = np.flatnonzero(self._ends[ids])
-        last = np.cumsum(counts)
-        if last[-1] != len(ends) or min(counts) < 1:
-            return self._encode(chunks)
-        cuts = (ends[last - 1] + 1) * 4
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Of each text, its ids as little-endian unsigned 32-bit integers."""
-        split = [None if _CONTROL.search(t) else t.split() for t in texts]
-        young, old = self._young, self._old
-        local: dict[str, bytes] = {}
-        new: list[str] = []
-        for parts in split:
-            for p in parts or ():
-                if p not in young and p not in local:
-                    if (kept := old.get(p)) is None:
-                        new.append(p)
-                        local[p] = b""
-                    else:
-                        young[p] = kept
-        for p, ids in zip(new, self._encode_chunks(new)):
-            if len(p) <= CACHE_CHUNK:
-                young[p] = ids
-                del local[p]
+        last = np.cumsum(words)
+        if last[-1] != len(ends) or words.min() < 1:
+            return self._library(chunks)
+        return ids, np.diff(ends[last - 1] + 1, prepend=0)
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Adds rows for chunks that have none. Marks at a chunk's end are words of their own, so it is put together from two rows."""
+        rows, parts, new = self._rows, [], dict.fromkeys(())
+        whole = []
+        for c in chunks:
+            core = c.rstrip(MARKS)
+            if core and len(core) < len(c) and core[-1].isalnum() and not _WIDE.match(core[-1]) and "<|" not in c:
+                tail = c[len(core) :]
+                parts.append((c, core, tail))
+                new[core] = new[tail] = None
             else:
-                local[p] = ids
-        if local:
-            out = [b"".join([young[p] if p in young else local[p] for p in parts]) if parts is not None else self._encode([t])[0] for parts, t in zip(split, texts)]
-        else:
-            out = [b"".join([young[p] for p in parts]) if parts is not None else self._encode([t])[0] for parts, t in zip(split, texts)]
-        if len(young) >= CACHE_HALF:
-            self._old, self._young = young, {}
-        return out
+                whole.append(c)
+        for c in whole:
+            new[c] = None
+        fresh = [c for c in new if c not in rows]
+        narrow = [c for c in fresh if "<|" not in c and not _WIDE.search(c)]
+        other = [c for c in fresh if "<|" in c or _WIDE.search(c)] if len(narrow) < len(fresh) else []
+        for some in (narrow, other):
+            self._append(some, *self._encode_chunks(some))
+        if parts:
+            heads = np.fromiter((rows[core] for _, core, _ in parts), np.int64, len(parts))
+            tails = np.fromiter((rows[tail] for _, _, tail in parts), np.int64, len(parts))
+            both = np.stack([heads, tails], axis=1).reshape(-1)
+            self._append([c for c, _, _ in parts], self._gather(both), self._lengths[heads] + self._lengths[tails])
+
+    def _append(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        if not chunks:
+            return
+        self._rows.update(zip(chunks, range(len(self._starts), len(self._starts) + len(chunks))))
+        self._starts = np.concatenate([self._starts, len(self._flat) + np.cumsum(lengths) - lengths])
+        self._lengths = np.concatenate([self._lengths, lengths])
+        self._flat = np.concatenate([self._flat, ids])
+        self._chars += sum(map(len, chunks))
+
+    def _gather(self, rows: np.ndarray) -> np.ndarray:
+        """The ids of rows, one after the other."""
+        lengths = self._lengths[rows]
+        upto = np.cumsum(lengths)
+        return self._flat[np.repeat(self._starts[rows] - upto + lengths, lengths) + np.arange(int(upto[-1]) if len(upto) else 0)]
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> pa.Array:
+        """Of each text (null: empty), its ids as little-endian integers of type kind, and the end id behind them."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        wide = pc.match_substring_regex(texts, WIDE)
+        lower = pc.if_else(wide, texts, pc.utf8_lower(texts)) if pc.any(wide).as_py() else pc.utf8_lower(texts)
+        split = pc.ascii_split_whitespace(lower)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self._learn([w for w in words if w not in self._rows])
+        row_of = np.fromiter(map(self._rows.__getitem__, words), np.int64, len(words))
+        rows = row_of[coded.indices.to_numpy()]
+        counts = split.value_lengths().to_numpy(zero_copy_only=False)
+        ids, sizes = self._gather(rows), np.concatenate([[0], np.cumsum(self._lengths[rows])])
+        offsets = sizes[np.concatenate([[0], np.cumsum(counts)])]
+        if end is not None:
+            ids = np.insert(ids, offsets[1:], end)
+            offsets = offsets + np.arange(len(offsets))
+        if len(self._rows) > KEPT_CHUNKS or self._chars > KEPT_CHARS:
+            self._keep(words, row_of)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer((offsets * self.kind.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids))])
+
+    def _keep(self, words: list[str], rows: np.ndarray) -> None:
+        """Forgets all chunks but the last ones, and those too if they are many or long."""
+        ids, lengths = self._gather(rows), self._lengths[rows]
+        self._forget()
+        if len(words) <= KEPT_CHUNKS // 2 and sum(map(len, words)) <= KEPT_CHARS // 2:
+            self._append(words, ids, lengths)
 
 
 @lru_cache(maxsize=2)
@@ -237,6 +306,16 @@ class FileReader:
         self._in.close()
 
 
+def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of about TOGETHER bytes in a column; a longer text is a slice of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TOGETHER, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str) -> DataFrame:
     """Encodes documents and writes their files; the manifest: (part, uri, n_docs, n_ids).
 
@@ -244,38 +323,38 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
     packed ids are shuffled, once, straight to the task that writes them.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bounds = range_bounds(narrow, "doc_id", FILE_DOCS)
-    end = np.array([end_id], "<u4").tobytes()
+    at = F.coalesce("doc_id", F.lit(NULL_ID))
+    bounds = range_bounds(narrow.select(at.alias("at")), "at", FILE_DOCS)
+    bucket, parts = range_bucket(at, bounds, F.xxhash64("text")), len(bounds) + 1
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
-        for frame in frames:
-            for at in range(0, len(frame), 256):
-                part = frame.iloc[at : at + 256]
-                ids = [x + end for x in own.encode([t or "" for t in part["text"]])]
-                yield pd.DataFrame({"part": part["part"], "doc_id": part["doc_id"], "n": [len(x) // 4 for x in ids], "packed": [pack(np.frombuffer(x, "<u4"), own.bits) for x in ids]})
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                ids = own.encode(part.column("text"), end_id)
+                yield pa.RecordBatch.from_arrays([part.column("part"), part.column("doc_id"), ids.cast(pa.binary())], names=["part", "doc_id", "ids"])
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, out, part = encoder(vocabulary), None, None
 
-        def ended() -> pd.DataFrame:
-            return pd.DataFrame({"part": [part], "uri": [out.uri], "n_docs": [out.close()], "n_ids": [out.n_ids]})
+        def ended() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"part": part, "uri": out.uri, "n_docs": out.close(), "n_ids": out.n_ids}], schema=manifest)
 
-        for frame in frames:
-            for p, doc_id, n, packed in zip(frame["part"], frame["doc_id"].astype(object), frame["n"], frame["packed"]):
+        for batch in batches:
+            for p, doc_id, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids"))):
                 if p != part:
                     if out is not None:
                         yield ended()
                     out, part = FileWriter(blobstore.attempt_name(folder, f"part-{p:05d}", ".tok"), own.bits), p
-                out.add(None if pd.isna(doc_id) else int(doc_id), unpack(packed, n, own.bits))
+                out.add(doc_id, np.frombuffer(ids, own.kind))
         if out is not None:
             yield ended()
 
-    encoded = narrow.withColumn("part", range_bucket(F.col("doc_id"), bounds)).mapInPandas(encode, "part int, doc_id long, n long, packed binary")
-    dealt = placed(encoded, len(bounds) + 1, "part")
-    # The id goes through a string, as pandas would make a double of a long column with nulls.
-    ordered = dealt.sortWithinPartitions("part", F.coalesce("doc_id", F.lit(NULL_ID)), F.xxhash64("packed")).withColumn("doc_id", F.col("doc_id").cast("string"))
-    return materialize(ordered.mapInPandas(write, "part int, uri string, n_docs long, n_ids long"), "token-manifest")
+    manifest = pa.schema([("part", pa.int32()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+    encoded = narrow.withColumn("part", bucket).mapInArrow(encode, "part int, doc_id long, ids binary")
+    dealt = placed(encoded, parts, "part")
+    ordered = dealt.sortWithinPartitions("part", at, F.xxhash64("ids"))
+    return materialize(ordered.mapInArrow(write, "part int, uri string, n_docs long, n_ids long"), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
