@@ -84,7 +84,9 @@ def glob_pattern(glob: str) -> str:
                 i = end + 1
         else:
             out.append(c if c.isalnum() and c.isascii() else _char(c))
-    return rf"(?s)\A(?:{''.join(out)})\z"
+    # A star at an end needs no walk to that end.
+    head, tail = "" if out[:1] == [".*"] else r"\A", "" if out[-1:] == [".*"] else r"\z"
+    return f"(?s){head}(?:{''.join(out[head == '' : len(out) - (tail == '')])}){tail}"
 
 
 def matches_any(path: Column, globs: Iterable[str]) -> Column:
@@ -94,10 +96,7 @@ def matches_any(path: Column, globs: Iterable[str]) -> Column:
         every.append(glob)
         if glob.endswith("/**") and len(glob) > 3:
             every.append(glob[:-3])
-    out = F.lit(False)
-    for glob in dict.fromkeys(every):
-        out = out | path.rlike(glob_pattern(glob))
-    return out
+    return path.rlike("|".join(f"(?:{glob_pattern(glob)})" for glob in dict.fromkeys(every))) if every else F.lit(False)
 
 
 def allowed(path: Column, allow_roots: Iterable[str], ignore: Iterable[str]) -> Column:
@@ -132,7 +131,8 @@ def safe_member(inner: Column) -> Column:
         F.lit(0),
         lambda d, p: F.when(d < 0, d).when((p == "") | (p == "."), d).when(p == "..", d - 1).otherwise(d + 1),
     )
-    return (depth >= 0) & ~stripped.startswith("/")
+    plain = ~inner.contains("..") & ~inner.contains("\\")  # nothing that could lead upwards: most names
+    return F.when(plain, F.lit(True)).otherwise((depth >= 0) & ~stripped.startswith("/"))
 
 
 def parse_since(text: str | None) -> int | None:

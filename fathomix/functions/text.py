@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 # Letters whose marks the lexical tokenizer removes, and what they become.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿāăąćčďđēęěğīłńňōőřśšťūůűźżž"
 PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyaaaccddeeegilnnoorsstuuuzzz"
+# Fixed value: what counts as white space.
+WHITE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 
 
@@ -34,6 +36,11 @@ def with_chunks(df: DataFrame, text: str, chars: int = 2000, overlap: int = 200)
     )
 
 
+def stripped(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.btrim(text, F.lit(WHITE))
+
+
 def lexical_tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits without marks; marks are looked up, not decomposed."""
     return F.regexp_extract_all(F.translate(F.lower(text), MARKED, PLAIN), F.lit(TOKEN), F.lit(0))

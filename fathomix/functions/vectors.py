@@ -29,11 +29,3 @@ def cosine_to(v: Column, query: list[float]) -> Column:
     length = sum(x * x for x in query) ** 0.5 + EPSILON
     literal = F.array(*(F.lit(float(x) / length) for x in query))
     return dot(v, literal) / (norm(v) + EPSILON)
-
-
-def hash_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[A-Za-z0-9_]+"), F.lit(0))
-
-
-def md5_bucket(token: Column, dim: int) -> Column:
-    return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dim

@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fathomix.functions.paths import safe_member
 
@@ -26,9 +26,16 @@ def virtual_path(archive: Column, inner: Column) -> Column:
 
 
 def listed_paths(entries: DataFrame, key: str = "file_id", order: str = "inner_path", most: int = LISTED) -> DataFrame:
-    """(key, n_entries, inner_paths): the first paths of each archive, one a line."""
-    gathered = entries.groupBy(key).agg(F.count("*").alias("n_entries"), F.array_sort(F.collect_list(F.struct(order, F.col("inner_path").alias("p")))).alias("all"))
-    return gathered.select(key, "n_entries", F.array_join(F.transform(F.slice("all", 1, most), lambda x: x["p"]), "\n").alias("inner_paths"))
+    """(key, n_entries, inner_paths): the first paths of each archive, one a line.
+
+    Members are ranked before they are gathered, so no row ever holds more than the
+    most that are listed.
+    """
+    rank = F.row_number().over(W.partitionBy(key).orderBy(order, "inner_path"))
+    first = entries.select(key, *dict.fromkeys((order, "inner_path"))).withColumn("n", rank).where(F.col("n") <= most)
+    gathered = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "inner_path"))).alias("some"))
+    listed = gathered.select(key, F.array_join(F.transform("some", lambda x: x["inner_path"]), "\n").alias("inner_paths"))
+    return entries.groupBy(key).agg(F.count("*").alias("n_entries")).join(listed, key)
 
 
 def guarded(entries: DataFrame) -> DataFrame:

@@ -10,10 +10,12 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from fathomix.functions.text import with_chunks
-from fathomix.functions.vectors import hash_tokens, md5_bucket
+from fathomix.functions.text import stripped, with_chunks
+from fathomix.functions.vectors import doubles, normalized
 
 SNIPPET = 512
 
@@ -34,7 +36,7 @@ def page_chunks(docs: DataFrame, chars: int = 2000, overlap: int = 200) -> DataF
 def segment_chunks(segments: DataFrame) -> DataFrame:
     """Segments (file_id, start_s, end_s, text): whole milliseconds, stripped text, no empty ones."""
     return segments.select(
-        "file_id", (F.col("start_s") * 1000).cast("long").alias("start_time_ms"), (F.col("end_s") * 1000).cast("long").alias("end_time_ms"), F.trim("text").alias("text")
+        "file_id", (F.col("start_s") * 1000).cast("long").alias("start_time_ms"), (F.col("end_s") * 1000).cast("long").alias("end_time_ms"), stripped(F.col("text")).alias("text")
     ).where("text <> ''")
 
 
@@ -58,19 +60,6 @@ def outcome(kind: Column, size: Column, has_transcriber: bool, threshold: int, e
     return F.struct(status.alias("status"), F.coalesce(error, skipped).alias("error_message"))
 
 
-def sparse_hash_embedding(docs: DataFrame, dim: int = 384) -> DataFrame:
-    """(file_id, bucket, weight) of (file_id, text): log1p of term counts by MD5 bucket, length 1.
-
-    A text without a token has its whole in one bucket.
-    """
-    split = docs.select("file_id", "text", hash_tokens(F.col("text")).alias("tokens"))
-    some = F.size("tokens") > 0
-    listed = split.select("file_id", some.alias("real"), F.when(some, F.col("tokens")).otherwise(F.array("text")).alias("tokens")).select("file_id", "real", F.explode("tokens").alias("token"))
-    counts = listed.groupBy("file_id", md5_bucket(F.col("token"), dim).alias("bucket")).agg(F.count("*").alias("n"), F.first("real").alias("real"))
-    raw = counts.withColumn("w", F.when(F.col("real"), F.log1p(F.col("n").cast("double"))).otherwise(1.0))
-    return raw.select("file_id", "bucket", (F.col("w") / (F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("file_id"))) + 1e-12)).alias("weight"))
-
-
 class Embedder(Protocol):
     """What the engine asks of an embedder; a worker builds its own from the factory."""
 
@@ -86,43 +75,77 @@ def _hash64(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
 
 
+def md5_32(data: bytes) -> int:
+    return int.from_bytes(hashlib.md5(data, usedforsecurity=False).digest()[:4], "big")
+
+
 class HashEmbedder:
     """Embeds by hashed tokens; needs no model."""
 
     name = "hash"
 
-    def __init__(self, dim: int = 384) -> None:
-        self.dim = dim
+    def __init__(self, dim: int = 384, hashed: Callable[[bytes], int] = _hash64) -> None:
+        self.dim, self.hashed = dim, hashed
         self._buckets: dict[str, int] = {}
 
     def _bucket(self, token: str) -> int:
         if len(self._buckets) > 500_000:
             self._buckets.clear()
         if (b := self._buckets.get(token)) is None:
-            b = self._buckets[token] = _hash64(token.encode()) % self.dim
+            b = self._buckets[token] = self.hashed(token.encode()) % self.dim
         return b
 
+    def _weights(self, text: str, row: np.ndarray) -> None:
+        counts = Counter(re.findall("[A-Za-z0-9_]+", text.lower()))
+        for token, n in counts.items():
+            row[self._bucket(token)] += n
+        if counts:
+            np.log1p(row, out=row)
+        else:
+            row[self.hashed(text.encode("utf-8", "ignore")) % self.dim] = 1
+
     def embed_texts(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), np.float32)
         for row, text in zip(out, texts):
-            counts = Counter(re.findall("[A-Za-z0-9_]+", text.lower()))
-            for token, n in counts.items():
-                row[self._bucket(token)] += n
-            if counts:
-                np.log1p(row, out=row)
-            else:
-                row[_hash64(text.encode("utf-8", "ignore")) % self.dim] = 1
+            self._weights(text, row)
         return out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-12)
 
+    def sparse(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of a text and their weights, as doubles."""
+        row = np.zeros(self.dim)
+        self._weights(text, row)
+        at = np.flatnonzero(row)
+        return at, row[at] / (np.linalg.norm(row) + 1e-12)
+
     def embed_images(self, images: list[bytes]) -> np.ndarray:
         """Images as their RGB bytes: each of the hash's eight bytes counts in a bucket."""
         out = np.zeros((len(images), self.dim), np.float32)
         for row, image in zip(out, images):
-            for b in _hash64(image).to_bytes(8, "little"):
+            for b in self.hashed(image).to_bytes(8, "little"):
                 row[b % self.dim] += 1
         return out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-12)
 
 
+def sparse_hash_embedding(docs: DataFrame, dim: int = 384) -> DataFrame:
+    """(file_id, bucket, weight) of (file_id, text): log1p of term counts by MD5 bucket, length 1.
+
+    A text without a token has its whole in one bucket. A row's tokens never leave its
+    batch, so nothing is shuffled.
+    """
+
+    def embed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = HashEmbedder(dim, md5_32)
+        for frame in frames:
+            for at in range(0, len(frame), 256):
+                part = frame.iloc[at : at + 256]
+                told = [own.sparse(t) for t in part["text"]]
+                sizes = [len(b) for b, _ in told]
+                yield pd.DataFrame({"file_id": part["file_id"].repeat(sizes), "bucket": np.concatenate([b for b, _ in told]), "weight": np.concatenate([w for _, w in told])})
+
+    known = docs.where(F.col("text").isNotNull()).select("file_id", "text")
+    return known.mapInPandas(embed, f"file_id {docs.schema['file_id'].dataType.simpleString()}, bucket long, weight double")
+
+
 def embedded(df: DataFrame, factory: Callable[[], Embedder], column: str, images: bool = False) -> DataFrame:
     """Adds embedding array<float>; a worker builds one embedder and keeps it for all its batches."""
 
@@ -137,7 +160,12 @@ def embedded(df: DataFrame, factory: Callable[[], Embedder], column: str, images
 
 
 def mean_pooled(tokens: DataFrame, key: str) -> DataFrame:
-    """(key, pos, value): masked mean of token vectors (key, mask 0/1, embedding), then length 1."""
-    parts = tokens.select(key, F.col("mask").cast("double").alias("mask"), F.posexplode("embedding").alias("pos", "x"))
-    means = parts.groupBy(key, "pos").agg((F.sum(F.col("x").cast("double") * F.col("mask")) / F.greatest(F.sum("mask"), F.lit(1e-9))).alias("m"))
-    return means.select(key, F.col("pos").cast("long").alias("pos"), (F.col("m") / (F.sqrt(F.sum(F.col("m") * F.col("m")).over(W.partitionBy(key))) + 1e-12)).alias("value"))
+    """(key, pos, value): masked mean of token vectors (key, mask 0/1, embedding), then length 1.
+
+    Vectors are summed as wholes, the mask as a further component: a row a key and task is shuffled.
+    """
+    mask = F.col("mask").cast("double")
+    masked = F.concat(F.transform(doubles(F.col("embedding")), lambda x: x * mask), F.array(mask))
+    sums = tokens.groupBy(key).agg(vector_to_array(Summarizer.sum(array_to_vector(masked))).alias("s"))
+    means = sums.select(key, F.transform(F.slice("s", F.lit(1), F.size("s") - 1), lambda x: x / F.greatest(F.element_at("s", -1), F.lit(1e-9))).alias("m"))
+    return means.select(key, F.posexplode(normalized(F.col("m"))).alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -29,6 +33,31 @@ def debounced(samples: DataFrame, key: str, at: str, high: str, pause_after_s: f
 
 
 def throttled(events: DataFrame, key: str, at_ms: str, gap_ms: int = 300) -> DataFrame:
-    """The last event of each interval of gap_ms: what a throttled heartbeat writes."""
-    slot = F.floor(F.col(at_ms) / gap_ms)
-    return events.groupBy(key, slot.alias("slot")).agg(F.max(F.struct(at_ms, "event_id")).alias("e"), F.count("*").alias("n")).select(key, "slot", F.col(f"e.{at_ms}").alias(at_ms), F.col("e.event_id").alias("event_id"), "n")
+    """(key, at_ms, event_id) of the events that a throttled heartbeat writes; the others are dropped.
+
+    A key's first event is written, and each later one that comes gap_ms or more after
+    the last one written. What is written depends on what was, so a key's events are
+    read in order (by time, then event_id), a batch at a time: the last time written
+    is all that is held.
+    """
+    narrow = events.select(F.col(key).alias("k"), F.col(at_ms).cast("long").alias("at"), F.col("event_id").alias("id"))
+
+    def beats(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, last = None, None
+        for frame in frames:
+            keys, times, chosen = frame["k"].to_numpy(), frame["at"].to_numpy(), []
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if current is None or keys[lo] != current:
+                    current, last = keys[lo], None
+                at = lo if last is None else lo + int(np.searchsorted(times[lo:hi], last + gap_ms))
+                while at < hi:
+                    chosen.append(at)
+                    last = int(times[at])
+                    at += int(np.searchsorted(times[at:hi], last + gap_ms))
+            yield frame.iloc[chosen]
+
+    ordered = narrow.where("k is not null and at is not null").repartition("k").sortWithinPartitions("k", "at", "id")
+    return ordered.mapInPandas(beats, narrow.schema).select(F.col("k").alias(key), F.col("at").alias(at_ms), F.col("id").alias("event_id"))

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from fathomix.work import written
+
+#: Rows of a range of dense_ids(), about, and ranges at most: a plan holds a bound for each.
+RANGE_ROWS, MOST_RANGES = 100_000, 4_096
 FILE_VALUES = ("real_path", "type", "mime", "size_bytes", "mtime_ns", "ctime_ns", "hash", "status", "error_message")
 
 
@@ -35,15 +39,36 @@ def changed(scan: DataFrame, files: DataFrame) -> DataFrame:
 def dense_ids(df: DataFrame, name: str, start: int, *order: str) -> DataFrame:
     """Adds start, start + 1, ... in order, without sorting all rows in one task.
 
-    Rows are range-partitioned by order; counts of partitions, one row each, give
-    every partition its offset.
+    Rows are written once, so that all that follows sees the same ones. Quantiles of a
+    sample cut them into ranges by fixed bounds, which makes a row's range a function
+    of the row alone; ranges are counted, and a row's id is the count before its range
+    plus its place within it. Rows equal in order are told apart by a hash, so many of
+    them still fall into several ranges.
     """
-    ranged = df.repartitionByRange(*map(F.col, order)).sortWithinPartitions(*order)
-    numbered = ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    counts = numbered.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_p", before.alias("_before"))
-    return numbered.join(F.broadcast(offsets), "_p").withColumn(name, F.lit(start) + F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")  # one row a partition
+    for new in ("_tie", "_range", "_place"):
+        if new in df.columns:
+            raise ValueError(f"a column may not be named {new}")
+    hashable = [f.name for f in df.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    rows = written(df.withColumn("_tie", F.xxhash64(*hashable)), "ids")
+    key = F.struct(*order, "_tie")
+    n = rows.count()
+    ranges = min(MOST_RANGES, n // RANGE_ROWS + 1)
+    place = F.row_number().over(W.partitionBy("_range").orderBy(*order, "_tie")) - 1
+    if ranges == 1:
+        return rows.withColumn("_range", F.lit(0)).withColumn("_place", place).withColumn(name, F.lit(start) + F.col("_place")).drop("_tie", "_range", "_place")
+    some = rows.select(key.alias("k")).sample(min(1.0, 64 * ranges / n), seed=5).agg(F.array_sort(F.collect_list("k")).alias("ks"))  # some 64 rows a range
+    cut = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("ks", F.floor(i * F.size("ks") / ranges).cast("int")))
+    bounds = some.select(F.to_json(cut).alias("cut")).first()["cut"]
+    table = F.from_json(F.lit(bounds), f"array<{rows.select(key.alias('k')).schema['k'].dataType.simpleString()}>")
+    steps = F.array(*(F.lit(2**k) for k in reversed(range(ranges.bit_length()))))
+    at = F.aggregate(steps, F.lit(0), lambda found, step: F.when(F.get(table, found + step - 1) < key, found + step).otherwise(found))
+    ranged = rows.withColumn("_range", at)
+    counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}  # a row a range
+    before = [start]
+    for k in range(ranges):
+        before.append(before[-1] + counts.get(k, 0))
+    offset = F.get(F.split(F.lit(",".join(map(str, before))), ",").cast("array<bigint>"), F.col("_range"))
+    return ranged.withColumn("_place", place).withColumn(name, offset + F.col("_place")).drop("_tie", "_range", "_place")
 
 
 def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:

@@ -107,9 +107,16 @@ def pdf_page_chunks(spark, sf):
     return indexing.page_chunks(V.texts(spark, sf).select("file_id", F.split("text", "\n").alias("pages")), 500, 50)
 
 
-@query("SELECT conv_id AS file_id, turn * 5000 AS start_time_ms, turn * 5000 + 4000 AS end_time_ms, trim(text) AS text FROM conversations WHERE trim(text) <> ''")
+_WHITE_SQL = " || ".join(f"chr({ord(c)})" for c in textf.WHITE)
+
+
+@query(
+    f"""WITH s AS (SELECT conv_id, turn, trim(CASE turn % 3 WHEN 0 THEN concat(chr(9), text, chr(10), chr(12288)) WHEN 1 THEN text ELSE concat(chr(160), chr(13)) END, {_WHITE_SQL}) AS text FROM conversations)
+    SELECT conv_id AS file_id, turn * 5000 AS start_time_ms, turn * 5000 + 4000 AS end_time_ms, text FROM s WHERE text <> ''"""
+)
 def transcript_segments(spark, sf):
-    segments = V.table(spark, sf, "conversations").select(F.col("conv_id").alias("file_id"), (F.col("turn") * F.lit(5.0)).alias("start_s"), (F.col("turn") * F.lit(5.0) + 4).alias("end_s"), "text")
+    text = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("\t"), "text", F.lit("\n\u3000"))).when(F.col("turn") % 3 == 1, F.col("text")).otherwise(F.lit("\xa0\r"))
+    segments = V.table(spark, sf, "conversations").select(F.col("conv_id").alias("file_id"), (F.col("turn") * F.lit(5.0)).alias("start_s"), (F.col("turn") * F.lit(5.0) + 4).alias("end_s"), text.alias("text"))
     return indexing.segment_chunks(segments)
 
 
@@ -591,8 +598,10 @@ def load_debounce(spark, sf):
 
 
 @query(
-    """WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS at_ms FROM events)
-    SELECT user_id, CAST(floor(at_ms / 86400000.0) AS BIGINT) AS slot, max((at_ms, event_id))[1] AS at_ms, max((at_ms, event_id))[2] AS event_id, count(*) AS n FROM e GROUP BY 1, 2"""
+    """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, epoch_us(ts) // 1000 AS at_ms FROM events),
+    w AS (SELECT user_id, min((at_ms, event_id)) AS beat FROM e GROUP BY 1
+      UNION ALL SELECT e.user_id, min((e.at_ms, e.event_id)) FROM w JOIN e ON e.user_id = w.user_id AND e.at_ms >= w.beat[1] + 86400000 GROUP BY 1)
+    SELECT user_id, beat[1] AS at_ms, beat[2] AS event_id FROM w"""
 )
 def status_throttle(spark, sf):
     e = V.table(spark, sf, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))

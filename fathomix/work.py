@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -16,3 +17,10 @@ def work_dir(spark: SparkSession) -> str:
         base = f"file://{tempfile.mkdtemp(prefix='fathomix-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/fathomix-work"
         spark.conf.set("spark.fathomix.work", base)
     return (base if ":/" in base else f"file://{base}").rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in the work folder: rows that stay the same however often they are read."""
+    path = f"{work_dir(df.sparkSession)}/fathomix-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -61,6 +61,30 @@ def test_dense_ids(spark):
     assert tables.dense_ids(df.limit(0), "n", 1, "k").count() == 0
 
 
+def test_dense_ids_over_many_ranges(spark, monkeypatch):
+    """Wide and skewed rows, more partitions than ranges have, adaptive execution on."""
+    monkeypatch.setattr(tables, "RANGE_ROWS", 3_000)
+    wide = F.repeat(F.md5(F.col("id").cast("string")), 10)
+    df = spark.range(0, 120_000, 1, 16).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.hash("id"))).alias("k"), F.col("id"), wide.alias("w"))
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    out = tables.dense_ids(df, "n", 5, "k").select("k", "id", "n")
+    told = out.agg(F.count("*"), F.count_distinct("n"), F.min("n"), F.max("n"), F.count_distinct("id")).first()
+    assert tuple(told) == (120_000, 120_000, 5, 120_004, 120_000)
+    spans = out.groupBy("k").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("c")).orderBy("k").collect()
+    assert all(a.hi < b.lo for a, b in zip(spans, spans[1:])) and all(s.hi - s.lo + 1 == s.c for s in spans)
+    with pytest.raises(ValueError):
+        tables.dense_ids(df.withColumn("_tie", F.lit(1)), "n", 1, "k")
+
+
+def test_dense_ids_with_nulls_and_several_columns(spark, monkeypatch):
+    monkeypatch.setattr(tables, "RANGE_ROWS", 10)
+    rows = [(None if i % 5 == 0 else i % 7, f"t{i}", {"a": i}) for i in range(200)]
+    df = spark.createDataFrame(rows, "a int, b string, m map<string,int>").repartition(6)
+    got = tables.dense_ids(df, "n", 1, "a", "b").orderBy("n").collect()
+    assert [r.n for r in got] == list(range(1, 201))
+    assert [(r.a, r.b) for r in got] == sorted(((a, b) for a, b, _ in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+
+
 def test_upsert_twice_is_once(spark):
     old = spark.createDataFrame([("a", 1, "m", 10), ("b", 2, None, 11)], "path string, size int, mime string, created int")
     new = spark.createDataFrame([("b", 3, None, 20), ("c", 4, "x", 20)], "path string, size int, mime string, created int")
@@ -101,6 +125,34 @@ def test_debounce(spark):
     assert got == want
 
 
+def test_throttle(spark):
+    rng, rows, want = random.Random(2), [], set()
+    for key in range(20):
+        times = sorted(rng.randrange(0, 5_000) for _ in range(rng.randrange(1, 80)))
+        rows += [(key, t, i) for i, t in enumerate(times)]
+        last = None
+        for i, t in enumerate(times):
+            if last is None or t - last >= 300:
+                want.add((key, t, i))
+                last = t
+    df = spark.createDataFrame([*rows, (None, 1, 1), (3, None, 99)], "k int, at_ms long, event_id long").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        got = [tuple(r) for r in load.throttled(df, "k", "at_ms").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(set(got)) and set(got) == want
+    assert load.throttled(df.limit(0), "k", "at_ms").count() == 0
+
+
+def test_segments_are_stripped_of_all_white_space(spark):
+    df = spark.createDataFrame([(1, 0.0, 1.5, "\t hi\u3000there \n"), (1, 2.0, 3.0, "\xa0\x1f"), (1, 3.0, 4.0, None)], "file_id long, start_s double, end_s double, text string")
+    assert [tuple(r) for r in indexing.segment_chunks(df).collect()] == [(1, 0, 1500, "hi\u3000there")]
+    from fathomix.functions.text import WHITE
+
+    assert all(c.isspace() for c in WHITE) and len(WHITE) == sum(chr(c).isspace() for c in range(0x110000))
+
+
 def zipped(**names):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
