@@ -11,6 +11,8 @@ from fathomix.work import work_dir
 
 #: Ranges of one table never exceed this many, so their bounds stay a small literal.
 MAX_BUCKETS = 65_536
+#: Keys that can be heavy at once, at most.
+HEAVY_KEYS = 10_000
 #: Rows a range that are sampled to place the bounds, about.
 SAMPLED = 128
 #: Stands for a null id in orderings: before every other id.
@@ -80,6 +82,31 @@ def range_bucket(column: Column, bounds: list[int], tie: Column | None = None) -
     return F.when(same > 1, below + F.least(spread, same - 1)).otherwise(below)
 
 
+def nested(df: DataFrame, **own: Column) -> DataFrame:
+    """All columns of df in one struct, row, beside columns of our own, so that names cannot clash; select("row.*") undoes it."""
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    return df.select(F.struct(*quoted).alias("row"), *(c.alias(name) for name, c in own.items()))
+
+
+def heavy_from(total: int) -> int:
+    """Rows from which a key counts as heavy; of total rows less than HEAVY_KEYS keys can have more."""
+    return max(1_000, total // HEAVY_KEYS)
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, heavy: DataFrame | None = None) -> DataFrame:
+    """left.join(right, keys), where right has one row a key and n of left's rows for it.
+
+    Heavy keys meet a broadcast of theirs, at most HEAVY_KEYS rows, so their rows are
+    never dealt to one task by key. total: left's rows. heavy: all heavy keys of left,
+    if right lacks some of them.
+    """
+    least = heavy_from(total)
+    many = F.broadcast(right.where(F.col(n) > least))  # less than HEAVY_KEYS rows, as their n add up to total at most
+    gone = many.select(*keys) if heavy is None else F.broadcast(heavy.select(*keys))
+    rest = left.join(gone, keys, "left_anti").join(right.where(F.col(n) <= least), keys)
+    return left.join(many, keys).unionByName(rest)
+
+
 def placed(df: DataFrame, partitions: int, bucket: str) -> DataFrame:
     """Bucket number k goes to task k modulo the count of tasks."""
     return df.repartitionById(partitions, F.col(bucket).cast("int"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fathomix.llm.common import materialize
+from fathomix.llm.common import join_counted, materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -25,8 +25,9 @@ def connected(edges: DataFrame) -> DataFrame:
     mark = _mark(stars)
     while mark[0]:
         both = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).union(stars.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        # The hub of a large star is a heavy key: its edges are not dealt by it.
+        large = join_counted(both.where("v > u"), least, ["u"], "n", 2 * mark[0]).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = materialize(moved.union(lowest.select("a", F.col("m").alias("b"))).distinct(), "edges")

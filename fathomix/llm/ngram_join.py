@@ -23,7 +23,8 @@ that of sharing no band, (1 - 0.8**5)**24, or 7e-5, and less above it.
 
 Defined results: words are runs of letters and digits, in lower case; a text of one
 to four words has one shingle of all of them; a text without words, or a null one,
-has no links, nor has a row with a null id, whose class is null; repeated rows are
+has no links; rows with a null id join classes like others, and come last where one
+stands for a class, whose id is null if it has no other row; repeated rows are
 copies of each other; equal ids with unlike texts are unlike sets, each with the
 links of its own text; an empty table gives no rows. Columns other than doc_id and
 text are not carried by the join; keep_one keeps all.
@@ -42,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fathomix.llm.chunk_cache import GenerationCache
-from fathomix.llm.common import materialize
+from fathomix.llm.common import heavy_from, join_counted, materialize, nested
 from fathomix.llm.components import connected
 
 N, THRESHOLD = 5, 0.8
@@ -279,7 +280,9 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     listed = classes.select("h1", F.explode(bands).alias("bucket"))
     buckets = listed.groupBy("bucket").agg(F.count("*").alias("m"), F.bit_xor("h1").alias("x"), F.bit_xor(F.xxhash64("h1")).alias("s"))
     once = buckets.where("m > 1").groupBy("m", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", "m")
-    members = listed.join(once, "bucket").join(classes.select("h1", "n", "signature"), "h1")
+    total = BANDS * classes.count()
+    members = join_counted(listed, once, ["bucket"], "m", total, heavy=buckets.where(F.col("m") > heavy_from(total)))
+    members = members.join(classes.select("h1", "n", "signature"), "h1")
     tiles = tiled(members, F.ceil(F.col("m") / BUCKET_BLOCK), "h1").drop("m")
     keys = ["bucket", "lo", "hi"]
 
@@ -309,10 +312,15 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFram
     Rows (u, v, links): with v a link of a spanning forest, with v null a number of
     linked documents of u's class (several rows a class add up).
     """
-    members = groups.select(F.col("node").alias("h1"), F.col("root").alias("group")).join(classes.select("rep", "n", "h1", "copies"), "h1")
+    members = groups.select(F.col("node").alias("h1"), F.col("root").alias("group")).join(classes.select("rep", "rep_t", "n", "h1", "copies"), "h1")
     sizes = members.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
-    dealt = members.join(sizes, "group").withColumn("blocks", F.greatest(F.ceil(F.col("m") / GROUP_BLOCK), F.ceil(F.col("total") / GROUP_SHINGLES))).drop("m", "total", "n")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(dealt, "rep")
+    blocks = sizes.select("group", "m", F.greatest(F.ceil(F.col("m") / GROUP_BLOCK), F.ceil(F.col("total") / GROUP_SHINGLES)).alias("blocks"))
+    dealt = join_counted(members, blocks, ["group"], "m", groups.count()).drop("m", "n")
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("rep_t"), F.col("text").cast("string").alias("text"))
+    texts = rows.join(dealt.where("rep is not null"), ["rep", "rep_t"])
+    # Rows without an id are found by their text, each text once.
+    nameless = rows.where("rep is null").drop("rep").dropDuplicates(["rep_t"]).join(dealt.where("rep is null"), "rep_t")
+    texts = texts.unionByName(nameless.select(*texts.columns))
 
     def whole_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -362,13 +370,14 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFram
 
 
 def classified(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, class_id, copy_of, n_links, kept) of every row; kept: whether the row stands for its class."""
+    """(doc_id, t, class_id, copy_of, n_links, kept, words) of every row; kept: whether the row stands for its class."""
     table = signature_table(docs)
-    own = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    own = F.col("n") > 0
+    one = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t", "n", "signature")
     classes = materialize(
         table.where(own)
         .groupBy("h1", "h2")
-        .agg(F.min(F.struct("doc_id", "t", "n", "signature")).alias("r"), F.count("*").alias("copies"))
+        .agg(F.min(one).alias("r"), F.count("*").alias("copies"))
         .select(F.col("r.doc_id").alias("rep"), F.col("r.t").alias("rep_t"), F.col("r.n").alias("n"), "h1", "h2", F.col("r.signature").alias("signature"), "copies"),
         "classes",
     )
@@ -377,12 +386,13 @@ def classified(docs: DataFrame) -> DataFrame:
     counts = found.where("v is null").groupBy(F.col("u").alias("h1")).agg(F.sum("links").alias("links"))
     narrow = classes.select("h1", "h2", "rep", "rep_t", "copies").join(roots, "h1", "left").join(counts, "h1", "left")
     narrow = materialize(narrow.withColumn("root", F.coalesce("root", "h1")), "class-roots")
-    heads = narrow.groupBy("root").agg(F.min(F.struct("rep", "rep_t")).alias("head"))
-    about = narrow.join(heads, "root").select("h1", "h2", "rep", "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    joined = table.where(own).select("doc_id", "t", "h1", "h2").join(about, ["h1", "h2"])
-    kept = (F.col("doc_id") == F.col("head.rep")) & (F.col("t") == F.col("head.rep_t"))
-    alone = table.where(~own).select("doc_id", "t", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
-    return joined.select("doc_id", "t", F.col("head.rep").alias("class_id"), F.col("rep").alias("copy_of"), "n_links", kept.alias("kept")).unionByName(alone)
+    heads = narrow.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("nameless"), "rep", "rep_t")).alias("head"), F.count("*").alias("m"))
+    about = join_counted(narrow, heads, ["root"], "m", narrow.count())
+    about = about.select("h1", "h2", "copies", "rep", "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    joined = join_counted(table.where(own).select("doc_id", "t", "h1", "h2"), about, ["h1", "h2"], "copies", table.count())
+    kept = F.col("doc_id").eqNullSafe(F.col("head.rep")) & (F.col("t") == F.col("head.rep_t"))
+    alone = table.where(~own).select("doc_id", "t", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), F.lit(False).alias("words"))
+    return joined.select("doc_id", "t", F.col("head.rep").alias("class_id"), F.col("rep").alias("copy_of"), "n_links", kept.alias("kept"), F.lit(True).alias("words")).unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -398,9 +408,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each class, and all documents without links; all columns stay.
 
     Of the class its smallest id stays. Rows equal in id and text count once, unless
-    the id is null: such rows all stay.
+    the id is null and the text has no words: such rows all stay.
     """
-    dropped = classified(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t")).distinct()
-    told = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_t", F.xxhash64("text"))
-    known = told.where("_id is not null").join(dropped, (F.col("_id") == F.col("gone_id")) & (F.col("_t") == F.col("gone_t")), "left_anti")
-    return known.dropDuplicates(["_id", "_t"]).unionByName(told.where("_id is null")).select(*docs.columns)
+    told = classified(docs)
+    dropped = told.where(~F.col("kept")).select(F.col("doc_id").alias("gone_i"), F.col("t").alias("gone_t")).distinct()
+    wordless = told.where(F.col("doc_id").isNull() & ~F.col("words")).select(F.col("t").alias("gone_t")).distinct()
+    rows = nested(docs, i=F.col("doc_id").cast("long"), t=F.xxhash64("text"))
+    stays = rows.join(dropped, F.col("i").eqNullSafe(F.col("gone_i")) & (F.col("t") == F.col("gone_t")), "left_anti")
+    empty = F.col("i").isNull() & (F.col("t") == F.col("gone_t"))
+    once = stays.join(wordless, empty, "left_anti").dropDuplicates(["i", "t"])
+    return once.unionByName(stays.join(wordless, empty, "left_semi")).select("row.*")

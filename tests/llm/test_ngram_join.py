@@ -17,7 +17,7 @@ def sets(text):
 
 
 def brute(rows):
-    s = [sets(t) if i is not None else set() for i, t in rows]
+    s = [sets(t) for _, t in rows]
     n = len(rows)
     links = [[j for j in range(n) if j != i and s[i] and s[j] and len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]) - 1e-9] for i in range(n)]
     root = list(range(n))
@@ -79,6 +79,43 @@ def test_keep_one(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, rows[0][1]), (1, rows[3][1]), (3, None), (4, ""), (None, "q")], key=repr)
 
 
+def test_keep_one_with_clashing_columns(spark):
+    """Columns named like those the operator makes for itself keep their values."""
+    names = ["doc_id", "text", "_id", "_t", "gone_id", "gone_t", "gone_i", "i", "t", "row", "kept", "words", "class_id", "copies", "h1"]
+    text = "one two three four five six seven"
+    rows = [(1, text, *range(11, 24)), (2, text, *range(31, 44)), (3, "quite another text of some words here", *range(51, 64))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names[2:]))
+    kept = J.keep_one(df)
+    assert kept.columns == names
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
+def test_null_ids_join_classes(spark):
+    a, b = "one two three four five six seven eight", "some words that are found without any id at all"
+    rows = [(None, a), (7, a), (9, a + " nine"), (None, b), (None, b), (None, b.upper()), (None, None), (None, None), (None, "..."), (4, "..."), (4, "...")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df) == brute(rows)
+    kept = sorted(((r.doc_id, r.text) for r in J.keep_one(df).collect()), key=repr)
+    assert kept in [sorted([(7, a), *nine, (None, x), (None, None), (None, None), (None, "..."), (4, "...")], key=repr) for x in (b, b.upper()) for nine in ([], [(9, a + " nine")])]
+
+
+def test_heavy_keys_give_the_same(spark, monkeypatch):
+    """One group of copies and one of near copies hold most rows, and count as heavy keys."""
+    from fathomix.llm import common
+
+    monkeypatch.setattr(common, "heavy_from", lambda total: 5)
+    monkeypatch.setattr(J, "heavy_from", lambda total: 5)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(300)}" for _ in range(80)]
+    rows = [(i, " ".join(base)) for i in range(30)]
+    for i in range(30, 70):
+        copy = list(base)
+        copy[rng.randrange(80)] = f"v{i}"
+        rows.append((i, " ".join(copy)))
+    rows += [(i, " ".join(f"x{rng.randrange(300)}" for _ in range(40))) for i in range(70, 90)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert got(df) == []
