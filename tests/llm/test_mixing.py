@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from fathomix.llm import mixing as M
 
@@ -71,6 +72,59 @@ def test_take_mix(spark):
     assert counts == {r.doc_id: r.copies for r in M.mix(df).collect() if r.copies}
 
 
+def test_take_mix_with_clashing_columns(spark):
+    own = ["_size", "_key", "_source", "_cell", "_copies", "_p_target", "_p_rest", "row", "id", "s", "size", "key", "cell", "copies", "copy", "n", "edge", "before", "target", "part", "rank"]
+    rows = [(i, "word " * (i % 5 + 1), f"s{i % 2}", *range(11, 11 + len(own))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in own))
+    taken = M.take_mix(df)
+    assert taken.columns == df.columns
+    assert set(map(tuple, taken.collect())) <= set(rows) and taken.count() > 0
+
+
+def test_cells_stay_small_whatever_the_text(spark):
+    """Texts without blanks have other quality weights; no cell may hold many of a source's rows."""
+    texts = ["".join(chr(0x4E00 + (i * 7 + k * k) % 900) for k in range(60)) for i in range(20_000)]
+    df = spark.createDataFrame([(i, t, "zh") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    drawn = M.draws(F.col("doc_id"), F.col("text"), F.col("source"), 42, M.text_quality)
+    cells = M.with_cells(df.select(*(c.alias(k) for k, c in drawn.items()))).groupBy("cell").count()
+    assert cells.agg(F.max("count")).first()[0] <= 20
+
+
+def test_quality_tells_junk_from_prose(spark):
+    """On labelled rows: how often a good text weighs more than a bad one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
+    size = F.coalesce(F.regexp_count("text", F.lit(M.WORD)), F.lit(0))
+    rows = docs.select("quality", M.text_quality(F.col("text"), size).alias("w")).where("w is not null").collect()
+    good, bad = [r.w for r in rows if r.quality == 1], [r.w for r in rows if r.quality == 0]
+    assert bad and sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad)) > 0.95
+    assert all(0.01 <= r.w <= 1 for r in rows)
+
+
+def test_sampling_follows_the_weights(spark):
+    """Of documents of one size, those that weigh four times as much are drawn far more often, as the method has it."""
+    rows = [(i, ("good word list here " if i % 2 else "poor poor poor poor ") * 2, src) for src in ("a", "b") for i in range(3_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    quality = lambda text, size: F.when(text.startswith("good"), 1.0).otherwise(0.25)
+    got = M.mix(df, quality=quality).where("source = 'b'").collect()
+    base = min(r.copies for r in got)
+    more = {0: 0, 1: 0}
+    for r in got:
+        more[r.doc_id % 2] += r.copies - base
+    # b takes 2/7 of all, 4/7 of its own size, in no full epoch: without replacement, P(key < t) = 1 - exp(-w t).
+    t = 1.6414  # where the two classes' mean of 1 - exp(-w t) is 4/7
+    import math
+
+    assert base == 0
+    assert abs(more[1] / 3_000 * 2 - (1 - math.exp(-t))) < 0.04 and abs(more[0] / 3_000 * 2 - (1 - math.exp(-t / 4))) < 0.04
+
+
+def test_many_sources_in_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(M, "RANGE_SOURCES", 7)
+    monkeypatch.setattr(M, "BROADCAST_SOURCES", 3)
+    rows = [(i, "word " * (i * i % 13 + 1), f"h{i % 40}" if i % 3 else "hot") for i in range(400)]
+    check(spark.createDataFrame(rows, "doc_id long, text string, source string"), rows)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert M.mix(df).count() == 0 and M.take_mix(df).count() == 0
