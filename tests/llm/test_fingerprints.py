@@ -80,6 +80,40 @@ def test_near_pairs(spark):
     assert {(r.id_a, r.id_b) for r in P.near_pairs(df, 0.6).collect()} == want
 
 
+def test_near_pairs_with_repeated_and_null_ids(spark, monkeypatch):
+    from fathomix.llm import common
+
+    rng = random.Random(4)
+    base = [rng.choice([*sorted(ANCHORS)[:20], *(f"w{i}" for i in range(80))]) for _ in range(200)]
+    changes = ([*base[:k], "changed", *base[k + 1 :]] for k in range(200))
+    near = next(x for x in changes if 0.8 <= likeness(spots(" ".join(base)), spots(" ".join(x))) < 1)
+    unlike = " ".join(f"u{i} the" for i in range(30))
+    a, b = " ".join(base), " ".join(near)
+    similarity = likeness(spots(a), spots(b))
+    for heavy, salt in ((10**6, 1000), (1, 1)):
+        monkeypatch.setattr(common, "heavy_from", lambda total, heavy=heavy: heavy)
+        monkeypatch.setattr(P, "SALT_ROWS", salt)
+        for rows, want in (
+            ([(1, a), (2, b)], [(1, 2)]),
+            ([(1, a), (2, b), (1, unlike)], [(1, 2)]),
+            ([(None, a), (None, b), (None, unlike), (None, None)], [(None, None)]),
+            ([(5, a), (5, b), (9, a)], [(5, 5)]),
+        ):
+            got = P.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+            assert [(r.id_a, r.id_b) for r in got] == want and abs(got[0].similarity - similarity) < 1e-9
+
+
+def test_one_id_of_many_rows(spark, monkeypatch):
+    """Rows of one id are ordered by a hash of their texts, over several ranges; each finds a next one."""
+    monkeypatch.setattr(P, "RANGE_ROWS", 5)
+    rows = [(7, f"text number {i} of the id") for i in range(60)] + [(None, f"no id {i % 3}") for i in range(30)] + [(i, f"own {i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = P.with_next(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).collect()
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got))) == sorted(map(repr, rows))
+    followed = sorted(r.next_text for r in got)
+    assert followed == sorted(t for _, t in rows)  # a cycle: every text follows once
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     df = P.fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     plan = df._jdf.queryExecution().toString()
