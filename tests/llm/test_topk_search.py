@@ -70,6 +70,40 @@ def test_tree_and_pruning(seed):
     assert search.pruned and search.compared < 0.5 * 50 * 2000
 
 
+def test_blocks_of_far_cells_are_skipped(spark, monkeypatch):
+    """On clustered vectors a query meets few blocks; what it meets is counted, and the result is that of brute force."""
+    monkeypatch.setattr(T, "DATA_ROWS", 100)
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(30, 8)) * 20
+    rows = [(i, (centers[i % 30] + rng.normal(size=8) * 0.05).astype(np.float32).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    met, blocks = [], []
+    real = T.searched
+
+    def counted(pairs, data, k):
+        met.append(pairs.count())
+        blocks.append(data.select("block").distinct().count())
+        return real(pairs, data, k)
+
+    monkeypatch.setattr(T, "searched", counted)
+    assert got(df) == brute(rows, 50, 5)
+    assert blocks[0] >= 25 and met[0] == 60 and met[1] < 0.2 * 60 * blocks[0]
+
+
+def test_many_queries_of_a_block(spark, monkeypatch):
+    monkeypatch.setattr(T, "DATA_ROWS", 40)
+    monkeypatch.setattr(T, "QUERY_ROWS", 5)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=3).round(2).tolist()) for i in range(150)] + [(i, [0.5, 0.5, 0.5]) for i in range(150, 260)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert got(df, every=2, k=3) == brute(rows, 2, 3)
+
+
+def test_vectors_longer_than_the_sample(spark):
+    cells = T.Cells(np.array([[1.0, 2.0]]), 1)
+    assert cells.width == 2 and T._matrix([np.array([1, 2, 3])], 2, float).tolist() == [[1.0, 2.0]]
+
+
 def test_sample_table(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     assert got(df) == brute([(r.vec_id, r.embedding) for r in df.collect()], 50, 5)
