@@ -36,6 +36,8 @@ BROADCAST_SOURCES = 100_000
 RANGE_SOURCES = 100_000
 #: Cells of an octave of the sampling key.
 CELLS = 4_096
+#: Cells that are summed together first, so that a source's prefix sums run over some hundred rows.
+COARSE = 64
 
 
 def text_quality(text: Column, size: Column) -> Column:
@@ -98,6 +100,14 @@ def with_cells(rows: DataFrame) -> DataFrame:
     return rows.withColumn("cell", F.floor(F.log2("key") * CELLS).cast("int"))
 
 
+def first_beyond(cells: DataFrame, cell: str) -> DataFrame:
+    """(s, cell, before, rest): of each source the first cell by which the sizes, from start on, exceed the rest, and their sum before it."""
+    upto = W.partitionBy("s").orderBy(cell).rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = cells.withColumn("upto", F.col("start") + F.sum("size").over(upto)).where(F.col("upto") > F.col("rest"))
+    found = summed.groupBy("s").agg(F.min(F.struct(cell, (F.col("upto") - F.col("size")).alias("before"), "rest")).alias("e"))
+    return found.select("s", f"e.{cell}", "e.before", "e.rest")
+
+
 def budget_plan(rows: DataFrame) -> DataFrame:
     """One row a source: (s, n, source_size, target, epochs, rest, edge, before).
 
@@ -111,15 +121,12 @@ def budget_plan(rows: DataFrame) -> DataFrame:
         "rest", F.when(F.col("epochs") == MOST_EPOCHS, 0.0).otherwise(F.col("target") - F.col("epochs") * F.col("source_size"))
     )
     budgets = materialize(budgets, "mix-budgets")
-    upto = W.partitionBy("s").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow)
-    summed = cells.select("s", "cell", "size").withColumn("upto", F.sum("size").over(upto))
-    edges = (
-        summed.join(budgets.select("s", "rest"), "s")
-        .where(F.col("upto") > F.col("rest"))
-        .groupBy("s")
-        .agg(F.min(F.struct("cell", (F.col("upto") - F.col("size")).alias("before"))).alias("edge"))
-    )
-    return budgets.join(edges, "s", "left").select("s", "n", "source_size", "target", "epochs", "rest", F.col("edge.cell").alias("edge"), F.col("edge.before").alias("before"))
+    cells = cells.select("s", "cell", "size", F.floor(F.col("cell") / COARSE).cast("int").alias("coarse"))
+    wide = cells.groupBy("s", "coarse").agg(F.sum("size").alias("size"))
+    wide_edges = first_beyond(wide.join(budgets.select("s", "rest"), "s").withColumn("start", F.lit(0)), "coarse")
+    within = cells.join(wide_edges.withColumnRenamed("before", "start"), ["s", "coarse"])
+    edges = first_beyond(within, "cell").select("s", F.col("cell").alias("edge"), "before")
+    return budgets.join(edges, "s", "left").select("s", "n", "source_size", "target", "epochs", "rest", "edge", "before")
 
 
 def decided(rows: DataFrame, plan: DataFrame) -> DataFrame:
