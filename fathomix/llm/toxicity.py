@@ -3,20 +3,21 @@
 Words become symbols through a lexicon transducer (insult, threat, target,
 negation, reported speech, other, end of clause), and a grammar transducer reads
 the symbols of each clause. The grammar is the composition of four small
-transducers: one marks hits and makes a threat near a target a whole one, one
-strengthens a hit after a target ("you"), one weakens a hit after a negation, one
-weakens a hit in reported speech. A document
-scores by its matched clauses, not by words taken alone: the weights of all hits,
-each times what the grammar makes of it, a term for length and an intercept sum up,
-and a logistic function turns the sum into a score from 0 to 1.
+transducers: one marks insults, threats and the targets that complete a threat; three
+tell which marks follow a target ("you"), follow a negation, or stand in reported
+speech. So each mark has a pattern, and a document scores by its matched clauses: the
+weight of each marked word times the factor of its pattern, a term for length and an
+intercept sum up, and a logistic function turns the sum into a score from 0 to 1.
 
 Fixed word lists hold the closed classes (targets, negations, verbs of saying,
 threats) and some common insults. Insult stems and their weights are learned from
 labelled rows outside the held-out fold, at most SAMPLE documents of which each
 group of near-equal ones counts once: stems are word prefixes that depend on the
-label by a likelihood-ratio test, weights come from a ridge logistic regression on
-the grammar's output. Label, language, source and id
-never enter a score.
+label by a likelihood-ratio test, of which the MOST_STEMS that tell most are kept, and
+weights come from a ridge logistic regression on the grammar's output. The factors of
+patterns are learned next, given the weights, and held to their priors: an insult alone
+counts half of one at a target, one that is negated or reported less. Label, language,
+source and id never enter a score.
 
 Defined results: a null or empty text scores as a text without hits; a null id is
 scored, counts as held out, and is never learned from; repeated rows get equal
@@ -58,66 +59,84 @@ SAMPLE, MOST_STEMS = 20_000, 300
 PREFIXES, LEAST_SUPPORT, LEAST_G2, LEAST_RATIO = (3, 4, 5, 6, 7), 5, 20.0, 3.0
 FOLDS = 5
 #: The weight of a fixed word, and the intercept before anything is learned.
-PRIOR_WEIGHT, PRIOR_INTERCEPT = 3.0, -4.0
+PRIOR_WEIGHT, PRIOR_INTERCEPT = 5.0, -4.0
+#: How firmly learned factors of patterns are held to their priors: this times the sum of squares of what they multiply.
+FACTOR_RIDGE = 0.005
 
 WORDS = re.compile(r"\w+")
 CLAUSES = re.compile(r"[^.!?;\n]+")
 
 
+#: Kinds of marks: an insult, a threat, and a target that completes a threat before it.
+KINDS = ("insult", "threat", "completed")
+#: What a mark's clause may add to its pattern.
+TARGETED, NEGATED, REPORTED = 1, 2, 4
+Mark = tuple[int, int]  # kind, bits
+
+
+def pattern(mark: Mark) -> int:
+    return mark[0] * 8 + mark[1]
+
+
+def prior_factors() -> tuple[float, ...]:
+    """What each pattern counts before anything is learned: an insult alone half of one at a target, a threat alone little."""
+    base = {0: (0.5, 1.0), 1: (0.2, 1.0), 2: (0.8, 0.8)}
+    return tuple(base[k][bits & TARGETED] * (0.3 if bits & NEGATED else 1.0) * (0.4 if bits & REPORTED else 1.0) for k in range(len(KINDS)) for bits in range(8))
+
+
 @dataclass(frozen=True)
 class Transducer:
-    """A deterministic weighted transducer: state and symbol to (state, weight factor)."""
+    """A deterministic transducer: state and symbol to (state, marks); bits are added to all marks that come in."""
 
-    step: dict[tuple[object, int], tuple[object, float]]
+    step: dict[tuple[object, int], tuple[object, tuple[Mark, ...], int]]
     start: object
 
 
-def counter_machine(trigger: int, factor: float) -> Transducer:
-    """Multiplies hits within REACH words after trigger by factor; a clause's end resets it."""
+def counter_machine(trigger: int, bit: int) -> Transducer:
+    """Sets a bit of hits within REACH words after trigger; a clause's end resets it."""
     step = {}
     for left in range(REACH + 1):
         for symbol in range(SYMBOLS):
-            hit = symbol in (INSULT, THREAT)
             after = REACH if symbol == trigger else 0 if symbol == BREAK else max(0, left - 1)
-            step[left, symbol] = (after, factor if hit and left else 1.0)
+            step[left, symbol] = (after, (), bit if symbol in HITS and left else 0)
     return Transducer(step, 0)
 
 
-def latch_machine(trigger: int, factor: float) -> Transducer:
-    """Multiplies all hits after trigger in the same clause by factor, and what a target adds to a threat."""
+def latch_machine(trigger: int, bit: int) -> Transducer:
+    """Sets a bit of all marks after trigger in the same clause."""
     step = {}
     for on in (0, 1):
         for symbol in range(SYMBOLS):
             after = 1 if symbol == trigger else 0 if symbol == BREAK else on
-            step[on, symbol] = (after, factor if on and symbol in (INSULT, THREAT, TARGET) else 1.0)
+            step[on, symbol] = (after, (), bit if on else 0)
     return Transducer(step, 0)
 
 
-def hit_machine(threat_without_target: float, negated: float) -> Transducer:
-    """Passes insults whole; a threat counts in part, until a target stands within REACH words on either side.
+def hit_machine() -> Transducer:
+    """Marks insults and threats, and a target that follows a threat within REACH words and completes it.
 
-    A target that follows pays what is missing of each threat that waits for one,
-    times negated where the threat followed a negation. A state holds the words that
-    the last target and the last negation still reach, and the waiting threats, by
-    age: 0 for none, 1 for one, 2 for a negated one.
+    A state holds the words that the last target and the last negation still reach,
+    and the waiting threats, by age: 0 for none, 1 for one, 2 for a negated one.
     """
-    rest = {0: 0.0, 1: 1 - threat_without_target, 2: (1 - threat_without_target) * negated}
     start = (0, 0, (0,) * REACH)
     step, todo, seen = {}, [start], {start}
     while todo:
         state = todo.pop()
         target, negation, waiting = state
         for symbol in range(SYMBOLS):
-            weight, new = 1.0 if symbol == INSULT else 0.0, 0
-            if symbol == THREAT:
-                weight, new = (1.0, 0) if target else (threat_without_target, 2 if negation else 1)
+            marks: tuple[Mark, ...] = ()
+            new, after_waiting = 0, (0,) * REACH
+            if symbol == INSULT:
+                marks = ((0, 0),)
+            elif symbol == THREAT:
+                marks, new = ((1, 0),), 0 if target else 2 if negation else 1
             elif symbol == TARGET:
-                weight, waiting_after = sum(rest[w] for w in waiting), (0,) * REACH
+                marks = tuple((2, NEGATED if w == 2 else 0) for w in waiting if w)
             if symbol != TARGET:
-                waiting_after = (new, *waiting[:-1])
-            after = (REACH if symbol == TARGET else max(0, target - 1), REACH if symbol == NEGATION else max(0, negation - 1), waiting_after)
+                after_waiting = (new, *waiting[:-1])
+            after = (REACH if symbol == TARGET else max(0, target - 1), REACH if symbol == NEGATION else max(0, negation - 1), after_waiting)
             after = start if symbol == BREAK else after
-            step[state, symbol] = (after, weight)
+            step[state, symbol] = (after, marks, 0)
             if after not in seen:
                 seen.add(after)
                 todo.append(after)
@@ -125,14 +144,14 @@ def hit_machine(threat_without_target: float, negated: float) -> Transducer:
 
 
 def compose(a: Transducer, b: Transducer) -> Transducer:
-    """Both read the same symbols; weights multiply. Only reachable states are built."""
+    """Both read the same symbols; b's bits are added to a's marks. Only reachable states are built."""
     start = (a.start, b.start)
     step, todo, seen = {}, [start], {start}
     while todo:
         state = todo.pop()
         for symbol in range(SYMBOLS):
-            (p, v), (q, w) = a.step[state[0], symbol], b.step[state[1], symbol]
-            step[state, symbol] = ((p, q), v * w)
+            (p, marks, have), (q, _, bits) = a.step[state[0], symbol], b.step[state[1], symbol]
+            step[state, symbol] = ((p, q), tuple((kind, old | bits) for kind, old in marks), have | bits)
             if (p, q) not in seen:
                 seen.add((p, q))
                 todo.append((p, q))
@@ -140,29 +159,30 @@ def compose(a: Transducer, b: Transducer) -> Transducer:
 
 
 @lru_cache(maxsize=1)
-def grammar() -> tuple[list[list[tuple[int, float]]], int]:
-    """The composed grammar as a table, with numbered states."""
-    machine = hit_machine(0.2, 0.3)
-    for part in (counter_machine(TARGET, 1.6), counter_machine(NEGATION, 0.3), latch_machine(REPORT, 0.4)):
+def grammar() -> tuple[list[list[tuple[int, tuple[int, ...]]]], int]:
+    """The composed grammar as a table of (next state, patterns), with numbered states."""
+    machine = hit_machine()
+    for part in (counter_machine(TARGET, TARGETED), counter_machine(NEGATION, NEGATED), latch_machine(REPORT, REPORTED)):
         machine = compose(machine, part)
     number = {s: i for i, s in enumerate(dict.fromkeys(s for s, _ in machine.step))}
-    table: list[list[tuple[int, float]]] = [[(0, 0.0)] * SYMBOLS for _ in number]
-    for (state, symbol), (after, weight) in machine.step.items():
-        table[number[state]][symbol] = (number[after], weight)
+    table: list[list[tuple[int, tuple[int, ...]]]] = [[(0, ())] * SYMBOLS for _ in number]
+    for (state, symbol), (after, marks, _) in machine.step.items():
+        table[number[state]][symbol] = (number[after], tuple(map(pattern, marks)))
     return table, number[machine.start]
 
 
 @dataclass(frozen=True)
 class Model:
-    """stems: prefix to weight; length: of the logarithm of the number of words; intercept."""
+    """stems: prefix to weight; factors: of each pattern; length: of the logarithm of the number of words; intercept."""
 
     stems: dict[str, float]
     length: float
     intercept: float
+    factors: tuple[float, ...] = prior_factors()
 
     @cached_property
     def lexicon(self) -> Lexicon:
-        return Lexicon(self.stems)
+        return Lexicon(self.stems, self.factors)
 
     def score(self, text: str) -> float:
         n, clauses = self.lexicon.read(text)
@@ -178,7 +198,8 @@ def word_scale(n: int) -> float:
 class Lexicon:
     """Maps words to symbols and weights: by their stems or else, as whole words, by the fixed lists."""
 
-    def __init__(self, stems: dict[str, float]) -> None:
+    def __init__(self, stems: dict[str, float], factors: tuple[float, ...] = prior_factors()) -> None:
+        self.factors = factors
         self.fixed: dict[str, tuple[int, float]] = {}
         for words, symbol in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT), (INSULTS, INSULT)):
             self.fixed |= {w: (symbol, PRIOR_WEIGHT) for w in words}
@@ -193,8 +214,8 @@ class Lexicon:
             return INSULT, math.fsum(self.stems[s] for s in found), found
         return *self.fixed.get(word, (OTHER, 0.0)), ()
 
-    def hits(self, lower: str, words: list[str]) -> Iterator[tuple[int, float, float, tuple[str, ...], int, int]]:
-        """(clause, weight, factor, stems, start, end) of each hit and of each target that completes a threat, by the grammar.
+    def hits(self, lower: str, words: list[str]) -> Iterator[tuple[int, float, tuple[int, ...], tuple[str, ...], int, int]]:
+        """(clause, weight, patterns, stems, start, end) of each word that the grammar marks.
 
         The grammar begins anew with each clause, so clauses without a word that can
         hit are passed over.
@@ -210,33 +231,35 @@ class Lexicon:
             state = start
             for t in WORDS.finditer(lower, m.start(), m.end()):
                 symbol, weight, stems = symbols[t.group()]
-                state, factor = table[state][symbol]
-                if factor:
-                    yield clause, weight, factor, stems, t.start(), t.end()
+                state, patterns = table[state][symbol]
+                if patterns:
+                    yield clause, weight, patterns, stems, t.start(), t.end()
 
     def read(self, text: str) -> tuple[int, list[tuple[float, int, int]]]:
         """The number of words, and (score, start, end) of each clause with a hit."""
         lower = text.lower()
         words = WORDS.findall(lower)
         out: dict[int, tuple[float, int, int]] = {}
-        for clause, weight, factor, _, start, end in self.hits(lower, words):
+        for clause, weight, patterns, _, start, end in self.hits(lower, words):
             score, begun, _ = out.get(clause, (0.0, start, end))
-            out[clause] = (score + weight * factor, begun, end)
+            out[clause] = (score + weight * math.fsum(self.factors[p] for p in patterns), begun, end)
         return len(words), list(out.values())
 
     def clauses(self, text: str) -> list[tuple[float, int, int]]:
         return self.read(text)[1]
 
-    def features(self, text: str) -> tuple[int, float, dict[str, float]]:
-        """The number of words, what fixed words score, and the summed factors of each stem."""
+    def features(self, text: str) -> tuple[int, dict[int, float], dict[tuple[str, int], int]]:
+        """The number of words, the weight of fixed words in each pattern, and how often each stem stands in each."""
         lower = text.lower()
         words = WORDS.findall(lower)
-        fixed, out = 0.0, {}
-        for _, weight, factor, stems, _, _ in self.hits(lower, words):
-            for stem in stems:
-                out[stem] = out.get(stem, 0.0) + factor
-            if not stems:
-                fixed += weight * factor
+        fixed: dict[int, float] = {}
+        out: dict[tuple[str, int], int] = {}
+        for _, weight, patterns, stems, _, _ in self.hits(lower, words):
+            for p in patterns:
+                for stem in stems:
+                    out[stem, p] = out.get((stem, p), 0) + 1
+                if not stems:
+                    fixed[p] = fixed.get(p, 0.0) + weight
         return len(words), fixed, out
 
 
@@ -307,27 +330,55 @@ def learn_stems(sample: DataFrame, toxic: int, clean: int) -> list[str]:
     return [r["stem"] for r in found]
 
 
-def fit_weights(x: np.ndarray, fixed: np.ndarray, y: np.ndarray, l2: float = 0.5) -> np.ndarray:
-    """Ridge logistic regression by Newton's method, with fixed an offset; the intercept is last."""
+def fit_weights(x: np.ndarray, fixed: np.ndarray, y: np.ndarray, l2: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Ridge logistic regression by Newton's method, with fixed an offset; l2 holds each weight to its prior, the intercept is last."""
     design = np.c_[x, np.ones(len(x))]
-    w, ridge = np.zeros(design.shape[1]), np.full(design.shape[1], l2)
-    ridge[-1] = 1e-3
+    w, ridge, center = np.append(prior, 0.0), np.append(l2, 1e-3), np.append(prior, 0.0)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(design @ w + fixed, -30, 30)))
         hess = (design * (p * (1 - p))[:, None]).T @ design + np.diag(ridge + 1e-9)
-        step = np.clip(np.linalg.solve(hess, design.T @ (p - y) + ridge * w), -3, 3)
+        step = np.clip(np.linalg.solve(hess, design.T @ (p - y) + ridge * (w - center)), -3, 3)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Model:
+def fitted(rows: list, stems: list[str], factors: tuple[float, ...] | None = None) -> Model:
+    """Weights of stems first, under the prior factors of patterns; then factors, given the weights. factors holds them fixed instead."""
+    prior = np.array(prior_factors() if factors is None else factors)
+    y = np.array([r["toxic"] != 0 for r in rows], float)
+    length = np.array([word_scale(r["words"]) for r in rows])
+    x, fixed = np.zeros((len(rows), len(stems) + 1)), np.zeros((len(rows), len(prior)))
+    for i, r in enumerate(rows):
+        for stem, p, n in zip(r["stems"], r["patterns"], r["counts"]):
+            x[i, stem] += prior[p] * n
+        fixed[i, r["fixed_patterns"]] = r["fixed"]
+    x[:, -1] = length
+    w = fit_weights(x, fixed @ prior, y, np.full(x.shape[1], 0.5), np.zeros(x.shape[1]))
+    if factors is None:
+        by_pattern = fixed.copy()
+        for i, r in enumerate(rows):
+            for stem, p, n in zip(r["stems"], r["patterns"], r["counts"]):
+                by_pattern[i, p] += w[stem] * n
+        # Patterns that the sample hardly shows stay as they were, and what all have in common is left to the weights.
+        # Factors are held to a range, then length and intercept follow.
+        energy = (by_pattern**2).sum(axis=0)
+        ridge = np.append(1.0 + FACTOR_RIDGE * energy, 0.5)
+        told = fit_weights(np.c_[by_pattern, length], np.zeros(len(rows)), y, ridge, np.append(prior, w[-2]))[: len(prior)]
+        common = float((told * prior * energy).sum() / max((prior * prior * energy).sum(), 1e-12)) or 1.0
+        prior = np.clip(np.where(energy > 0, told / common, prior), 0.0, 2.0)
+        w[-2:] = fit_weights(length[:, None], by_pattern @ prior, y, np.array([0.5]), w[-2:-1])
+    return Model({stem: float(v) for stem, v in zip(stems, w)}, float(w[-2]), float(w[-1]), tuple(prior.tolist()))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list, list[str]]:
+    """The sample's rows as counts of stems by pattern, and the stems; nothing without labels of both kinds."""
     sample = training_sample(docs, labels)
     kinds = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = sum(n for k, n in kinds.items() if k), kinds.get(0, 0)
     if not toxic or not clean:
-        return Model({}, 0.0, PRIOR_INTERCEPT)
+        return [], []
     stems = learn_stems(sample, toxic, clean)
     raw = Model(dict.fromkeys(stems, 1.0), 0.0, 0.0)
     number = {stem: k for k, stem in enumerate(stems)}
@@ -335,26 +386,22 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = raw.lexicon
         for frame in frames:
-            read = [own.features(t or "") for t in frame["text"]]
-            yield pd.DataFrame(
-                {
-                    "toxic": frame["toxic"],
-                    "words": [n for n, _, _ in read],
-                    "fixed": [f for _, f, _ in read],
-                    "stems": [[number[k] for k in sorted(o)] for _, _, o in read],
-                    "factors": [[o[k] for k in sorted(o)] for _, _, o in read],
-                }
-            )
+            out = []
+            for y, text in zip(frame["toxic"], frame["text"]):
+                words, fixed, counts = own.features(text or "")
+                told = sorted((number[stem], p, n) for (stem, p), n in counts.items())
+                out.append((y, words, sorted(fixed), [fixed[p] for p in sorted(fixed)], *([t[k] for t in told] for k in range(3))))
+            yield pd.DataFrame(out, columns=["toxic", "words", "fixed_patterns", "fixed", "stems", "patterns", "counts"])
 
     # At most SAMPLE rows of a few numbers each; ordered, so that reruns add up alike.
-    rows = sample.select("toxic", "text").mapInPandas(features, "toxic int, words long, fixed double, stems array<int>, factors array<double>").collect()
-    rows.sort(key=lambda r: (r["toxic"], r["words"], r["fixed"], r["stems"], r["factors"]))
-    x = np.zeros((len(rows), len(stems) + 1))
-    for i, r in enumerate(rows):
-        x[i, r["stems"]] = r["factors"]
-        x[i, -1] = word_scale(r["words"])
-    w = fit_weights(x, np.array([r["fixed"] for r in rows]), np.array([r["toxic"] != 0 for r in rows], float))
-    return Model({stem: float(v) for stem, v in zip(stems, w)}, float(w[-2]), float(w[-1]))
+    schema = "toxic int, words long, fixed_patterns array<int>, fixed array<double>, stems array<int>, patterns array<int>, counts array<long>"
+    rows = sample.select("toxic", "text").mapInPandas(features, schema).collect()
+    return sorted(rows, key=tuple), stems
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    rows, stems = training_rows(docs, labels)
+    return fitted(rows, stems) if rows else Model({}, 0.0, PRIOR_INTERCEPT)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
