@@ -52,7 +52,7 @@ HASHES = BANDS * BAND_ROWS
 #: MinHash values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 12, 1e-5
 #: Members of a bucket's block; members and shingles of a candidate group's block.
-BUCKET_BLOCK, GROUP_BLOCK, GROUP_SHINGLES = 1_024, 512, 1_000_000
+BUCKET_BLOCK, GROUP_BLOCK, GROUP_SHINGLES = 512, 512, 1_000_000
 
 WORDS = re.compile(r"\w+")
 _MASK = (1 << 64) - 1
