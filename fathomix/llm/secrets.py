@@ -187,7 +187,7 @@ def silver_tags(run: list[tuple[int, int]], base: list[tuple[int, int, int, int]
 
 
 def seed_windows() -> list[tuple[list[tuple[str, str]], list[int]]]:
-    """Fixed sentences with tags: values of many forms after a keyword and a verb or sign, and keywords without a value."""
+    """Fixed sentences with tags: values of many forms after a keyword and a verb or sign, keywords without a value, keys told by their shape alone, and long tokens that are none."""
     rng = random.Random(9)
     common = "the my new old a this our please use with for account server user login now and then today it here said note that in of to on was very much also still about".split()
     names = "correct horse battery staple hunter dragon summer winter purple monkey river silver garden coffee orange letter castle planet shadow rocket".split()
@@ -203,6 +203,31 @@ def seed_windows() -> list[tuple[list[tuple[str, str]], list[int]]]:
         pool = [letters, letters + letters.upper(), letters + letters.upper() + "0123456789", "0123456789ABCDEF"][max(0, form - 5)]
         return "".join(rng.choice(pool) for _ in range(rng.randrange(10, 33)))
 
+    def unnamed() -> str:
+        mixed = letters + letters.upper() + "0123456789"
+        body = "".join(rng.choice(["0123456789ABCDEF", mixed, mixed, mixed + "+/"][rng.randrange(4)]) for _ in range(rng.randrange(28, 49)))
+        body = body if rng.random() < 0.6 else "".join(rng.choice("0123456789ABCDEF") for _ in range(rng.randrange(28, 49)))
+        prefix = "".join(rng.choice(letters) for _ in range(rng.randrange(2, 5))) + rng.choice("_-")
+        return (prefix if rng.random() < 0.35 else "") + body.strip("+/") + "x"
+
+    def ordinary() -> str:
+        digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+        hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+        form = rng.randrange(7)
+        if form == 0:
+            return digits(rng.randrange(6, 25))
+        if form == 1:
+            return f"{digits(3)}-{digits(rng.randrange(3, 5))}-{digits(4)}"
+        if form == 2:
+            return "-".join(hexes(n) for n in (8, 4, 4, 4, 12))
+        if form == 3:
+            return ".".join(str(rng.randrange(256)) for _ in range(4))
+        if form == 4:
+            return f"{digits(4)}-{digits(2)}-{digits(2)}T{digits(2)}"
+        if form == 5:
+            return "".join(rng.choice(names + common + plain) for _ in range(rng.randrange(3, 6)))
+        return "/".join(rng.choice(names + common) for _ in range(rng.randrange(3, 6))) + rng.choice([".html", ".txt", "/" + digits(3), ""])
+
     out = []
     for i in range(2400):
         key = rng.choice(["password", "passwd", "secret", "token", "apikey", "api_key", "secret key", "access token", "Password", "Secret"]).split()
@@ -223,6 +248,10 @@ def seed_windows() -> list[tuple[list[tuple[str, str]], list[int]]]:
         if i % 4 == 1:  # letters with nothing near that calls them a secret
             words = [("", w) for w in before] + [("", end[0] if end[0].isalpha() else rng.choice(names + common + plain))] + [("", w) for w in after]
             out.append((words, [O] * len(words)))
+        if i % 2 == 0:  # values that are told by their shape alone, and long tokens that are none
+            told = unnamed() if i % 4 == 0 else ordinary()
+            words = [("", w) for w in [*before, told, *after]]
+            out.append((words, [O] * len(before) + [B if i % 4 == 0 else O] + [O] * len(after)))
     return out
 
 
@@ -446,13 +475,20 @@ def outside(spans: list[tuple[int, int, int, int]], base: list[tuple[int, int, i
     return out
 
 
+def masked_keys(words: list[str], tags: list[int], named: list[bool]) -> tuple[list[str], list[int]]:
+    """A window without its keywords, and its secrets without the marks before them, so that shape must tell."""
+    kept = [(split_lead(w)[1] if t else w, t) for w, t, key in zip(words, tags, named or [False] * len(words)) if t or not key]
+    return [w for w, _ in kept], [t for _, t in kept]
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     """Windows of tokens, with leads, and their tags from a sample of at most about TRAIN_DOCS documents.
 
     The sample is fixed by a hash of the id, so reruns agree; the rest of the
     table is not sampled anywhere. A keyword without a base span near it is no
     proof of either kind, so its window is left to the fixed sentences. Of the other
-    windows without a secret a fixed part is taken by a hash of their words. kind is 0
+    windows without a secret a fixed part is taken by a hash of their words. A window
+    with a secret is there twice, with and without its keywords. kind is 0
     with a secret, 1 with a digit, else 2.
     """
     rows = max(1, docs.count())
@@ -480,6 +516,8 @@ def training_rows(docs: DataFrame) -> DataFrame:
                         if crc32(joined.encode("utf-8", "surrogatepass")) % (1, 4, 16)[kind]:
                             continue
                     out.append((kind, words, part, about))
+                    if kind == 0:
+                        out.append((kind, *masked_keys(words, part, named[i : i + WINDOW]), about))
             yield pd.DataFrame(out, columns=["kind", "words", "tags", "about"])
 
     text = F.col("text").cast("string")
