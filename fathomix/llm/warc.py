@@ -22,6 +22,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from fathomix.llm import blobstore
-from fathomix.llm.common import materialize, new_path
+from fathomix.llm.common import heavy_from, materialize, new_path
 
 #: Uncompressed bytes after which a frame ends.
 FRAME = 1 << 20
@@ -143,8 +144,9 @@ class BundleReader:
                 fields, block, at = parse_record(raw, at)
                 yield fields, block
 
+    @cached_property
     def index(self) -> dict[int | None, tuple[int, int]]:
-        """Record identifier to (frame, offset within it)."""
+        """Record identifier to (frame, offset within it); read once."""
         start, end = int(self._starts[self.n_frames]), int(self._starts[self.n_frames + 1])
         body = self._in.read_at(end - start - 8, start + 8)
         n = len(body) // 17
@@ -153,7 +155,7 @@ class BundleReader:
         return {None if null else int(i): (int(f), int(o)) for i, null, f, o in zip(ids, nulls, frames, offsets)}
 
     def fetch(self, page_id: int | None) -> tuple[dict[str, str], bytes]:
-        k, offset = self.index()[page_id]
+        k, offset = self.index[page_id]
         return parse_record(self.frame(k), offset)[:2]
 
     def close(self) -> None:
@@ -172,9 +174,12 @@ def write_bundles(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFram
         .groupBy("sha1")
         .agg(F.max("page_id").alias("kept"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("sha1", "kept")
     )
-    marked = rows.join(repeated, "sha1", "left").select(
+    # A payload of very many pages is a heavy key: its pages are not dealt by its digest.
+    least = heavy_from(pages.count())
+    many = F.broadcast(repeated.where(F.col("n") > least).select("sha1", "kept"))  # less than HEAVY_KEYS rows
+    rest = rows.join(many.select("sha1"), "sha1", "left_anti").join(repeated.where(F.col("n") <= least).select("sha1", "kept"), "sha1", "left")
+    marked = rows.join(many, "sha1").unionByName(rest).select(
         "page_id",
         "url",
         "payload",

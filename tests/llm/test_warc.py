@@ -32,12 +32,20 @@ def test_cases(spark):
         assert got == brute(ROWS, least)
 
 
+def test_heavy_payloads_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(Z, "heavy_from", lambda total: 4)
+    rows = [(i, "the hot page") for i in range(40)] + [(i, f"page {i % 30}") for i in range(40, 100)] + [(100 + i, None) for i in range(9)] + [(200, "single")]
+    df = spark.createDataFrame([(i, "u", h, "x", 1) for i, h in rows], "page_id long, url string, html string, sha1 string, kept int")
+    for least in (0, 1):
+        assert sorted((tuple(r) for r in Z.archive_pages(df, least).collect()), key=repr) == brute(rows, least)
+
+
 def test_seek(spark):
     df = spark.createDataFrame([(i, "u", f"page {i} " * 20_000) for i in range(30)], "page_id long, url string, html string").coalesce(1)
     manifest = Z.write_bundles(df, new_path(spark, "warc")).collect()
     for m in manifest:
         reader = Z.BundleReader(m.uri)
-        for page_id in reader.index():
+        for page_id in reader.index:
             fields, block = reader.fetch(page_id)
             assert fields["WARC-Record-ID"] == f"<urn:page:{page_id}>"
             assert block.endswith(f"page {page_id} ".encode())
@@ -49,4 +57,6 @@ def test_seek(spark):
 
 
 def test_empty(spark):
-    assert Z.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert Z.archive_pages(none).count() == 0
+    assert Z.write_bundles(none, new_path(spark, "warc")).count() == 0
