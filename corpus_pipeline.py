@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    coded = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), decode=False)
     return coded.select("doc_id", "n_tokens", "ids")
 
 

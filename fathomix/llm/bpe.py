@@ -168,8 +168,8 @@ def _shipped(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).cast("long").cast("string").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Encodes every whole text: (id, n_tokens long, ids array of int, decoded string)."""
+def encode_documents(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", decode: bool = True) -> DataFrame:
+    """Encodes every whole text: (id, n_tokens long, ids array of int) and, unless decode is off, decoded string."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(vocabulary)
@@ -177,9 +177,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_column: str = "doc_id"
             for at in range(0, len(frame), 512):
                 part = frame.iloc[at : at + 512]
                 ids = [own.encode(t or "") for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": [len(x) for x in ids], "ids": ids, "decoded": [own.decode(x) for x in ids]})
+                told = {"decoded": [own.decode(x) for x in ids]} if decode else {}
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": [len(x) for x in ids], "ids": ids, **told})
 
-    rows = _shipped(docs, id_column, text_column).mapInPandas(run, "doc_id string, n_tokens long, ids array<int>, decoded string")
+    schema = "doc_id string, n_tokens long, ids array<int>" + ", decoded string" * decode
+    rows = _shipped(docs, id_column, text_column).mapInPandas(run, schema)
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

@@ -50,3 +50,4 @@ def test_frames(spark):
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert sorted((r.n_tokens, r.decoded) for r in bpe.encode_documents(df, PATH).collect()) == sorted((w[1], t or "") for w, (_, t) in zip(want, rows))
     assert bpe.encode_digests(df.limit(0), PATH).count() == 0
+    assert bpe.encode_documents(df, PATH, decode=False).columns == ["doc_id", "n_tokens", "ids"]
