@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
@@ -11,6 +12,7 @@ from fathomix.functions import paths, text as textf, vectors as vec
 from fathomix.operators import archives, hybrid, indexing, knn, lexical, load, tables
 from fathomix.plans import views as V
 from fathomix.sources.files import candidates, decoded
+from fathomix.work import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -279,8 +281,37 @@ def _docs(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", "text")
 
 
+_INDEXES: dict[tuple, lexical.LexicalIndex] = {}
+
+
+def _index(spark, sf, name, docs, key, columns):
+    """The lexical index of a table, written at the first search of a session and read by all; written anew if the table's files change."""
+    files = V.table(spark, sf, "documents").inputFiles()
+    stamp = spark.read.format("binaryFile").load(files).agg(F.count("*"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()
+    at = (spark.sparkContext.applicationId, sf, name, *stamp)
+    if at not in _INDEXES:
+        folder = f"{work_dir(spark)}/fathomix-lexical-{uuid.uuid4().hex}"
+        lexical.write_index(docs(spark, sf), key, columns, folder)
+        _INDEXES[at] = lexical.open_index(spark, folder, "bigint", columns)
+    return _INDEXES[at]
+
+
+def _text_index(spark, sf):
+    return _index(spark, sf, "documents", _docs, "doc_id", ["text"])
+
+
+def _ranked(spark, sf, text):
+    return lexical.bm25(_text_index(spark, sf), lexical.parse_query(text), "doc_id", ["text"]).withColumn("rank", F.round("rank", 6))
+
+
 @query(f"WITH {_bm25_sql('documents', 'doc_id', ['text'], ['the', 'whst'], 'tf0 > 0 AND tf1 > 0')} SELECT doc_id, round(rank, 6) AS rank FROM ranked")
 def fts_bm25(spark, sf):
+    return _ranked(spark, sf, "the whst")
+
+
+@query(f"WITH {_bm25_sql('documents', 'doc_id', ['text'], ['the', 'whst'], 'tf0 > 0 AND tf1 > 0')} SELECT doc_id, round(rank, 6) AS rank FROM ranked")
+def fts_scan(spark, sf):
+    """The same without an index."""
     return lexical.bm25(_docs(spark, sf), lexical.parse_query("the whst"), "doc_id", ["text"]).withColumn("rank", F.round("rank", 6))
 
 
@@ -289,7 +320,7 @@ def fts_bm25(spark, sf):
     SELECT doc_id, round(rank, 6) AS rank, round(1.0 / (1.0 + abs(rank)), 6) AS fts_score FROM (SELECT * FROM ranked ORDER BY rank, doc_id LIMIT 50) t"""
 )
 def fts_search(spark, sf):
-    return lexical.search(_docs(spark, sf), "ened thing", "doc_id", ["text"], 50).select("doc_id", F.round("rank", 6).alias("rank"), F.round("fts_score", 6).alias("fts_score"))
+    return lexical.search(_text_index(spark, sf), "ened thing", "doc_id", ["text"], 50).select("doc_id", F.round("rank", 6).alias("rank"), F.round("fts_score", 6).alias("fts_score"))
 
 
 @query(
@@ -297,20 +328,28 @@ def fts_search(spark, sf):
     SELECT doc_id, round(rank, 6) AS rank FROM (SELECT * FROM ranked ORDER BY rank, doc_id LIMIT 50) t"""
 )
 def fts_phrase(spark, sf):
-    return lexical.search(_docs(spark, sf), "of-the", "doc_id", ["text"], 50).select("doc_id", F.round("rank", 6).alias("rank"))
+    return lexical.search(_text_index(spark, sf), "of-the", "doc_id", ["text"], 50).select("doc_id", F.round("rank", 6).alias("rank"))
 
 
 @query(
-    f"""WITH {_bm25_sql('documents', 'doc_id', ['text'], ['idiot', 'moron', 'de'], '(tf0 > 0 OR tf1 > 0) AND tf2 = 0').replace("+ greatest(ln((n - df2 + 0.5) / (df2 + 0.5)), 1e-6) * tf2 * 2.2 / (tf2 + 1.2 * (0.25 + 0.75 * dl / avgdl))", "")}
+    f"""WITH {_bm25_sql('documents', 'doc_id', ['text'], ['idiot', 'moron', 'de'], '(tf0 > 0 OR (tf1 > 0 AND tf2 = 0))').replace("+ greatest(ln((n - df2 + 0.5) / (df2 + 0.5)), 1e-6) * tf2 * 2.2 / (tf2 + 1.2 * (0.25 + 0.75 * dl / avgdl))", "")}
     SELECT doc_id, round(rank, 6) AS rank FROM ranked"""
 )
 def fts_boolean(spark, sf):
-    return lexical.bm25(_docs(spark, sf), lexical.parse_query("idiot OR moron NOT de"), "doc_id", ["text"]).withColumn("rank", F.round("rank", 6))
+    return _ranked(spark, sf, "idiot OR moron NOT de")
 
 
 @query(f"WITH {_bm25_sql('documents', 'doc_id', ['text'], ['pathet'], 'tf0 > 0', prefix=True)} SELECT doc_id, round(rank, 6) AS rank FROM ranked")
 def fts_prefix(spark, sf):
-    return lexical.bm25(_docs(spark, sf), lexical.parse_query("pathet*"), "doc_id", ["text"]).withColumn("rank", F.round("rank", 6))
+    return _ranked(spark, sf, "pathet*")
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, ' ' || array_to_string({_tokens_sql('coalesce(text, chr(32))')}, ' ') || ' ' AS toks FROM documents)
+    SELECT doc_id FROM t WHERE regexp_matches(toks, ' the( [^ ]+){{0,2}} of ') OR regexp_matches(toks, ' of( [^ ]+){{0,2}} the ')"""
+)
+def fts_near(spark, sf):
+    return _ranked(spark, sf, "NEAR(the of, 2)").select("doc_id")
 
 
 @query(
@@ -340,9 +379,16 @@ def _fts_docs(spark, sf):
     return V.files(spark, sf).select("file_id", "path", paths.basename(F.col("path")).alias("basename")).join(V.texts(spark, sf).select("file_id", F.substring("text", 1, 512).alias("snippet")), "file_id")
 
 
+_FTS_COLUMNS = ["path", "basename", "snippet"]
+
+
+def _file_index(spark, sf):
+    return _index(spark, sf, "files", _fts_docs, "file_id", _FTS_COLUMNS)
+
+
 def _fts(spark, sf):
     docs = _fts_docs(spark, sf)
-    hits = lexical.search(docs, "thing en", "file_id", ["path", "basename", "snippet"], 50)
+    hits = lexical.search(_file_index(spark, sf), "thing en", "file_id", _FTS_COLUMNS, 50)
     return F.broadcast(hits).join(docs, "file_id").select("file_id", "fts_score", F.col("snippet").alias("fts_snippet"))
 
 
@@ -355,6 +401,12 @@ def _shown(df):
     return df.select("file_id", "path", "type", F.round("score", 6).alias("score"), "snippet", "timestamp_ms", F.array_join("sources", ",").alias("sources"))
 
 
+@query(f"WITH {_FTS_DOCS_SQL} SELECT file_id FROM fts_docs WHERE contains(' ' || array_to_string({_tokens_sql('path')}, ' ') || ' ', ' es ') AND contains(' ' || array_to_string({_tokens_sql('snippet')}, ' ') || ' ', ' de ')")
+def fts_column(spark, sf):
+    query = lexical.parse_query("path : es {snippet} : de")
+    return lexical.bm25(_file_index(spark, sf), query, "file_id", _FTS_COLUMNS).select("file_id")
+
+
 @query(f"WITH {_FUSED_SQL} SELECT file_id FROM fused")
 def candidate_union(spark, sf):
     return _recall(spark, sf).select("file_id").union(_fts(spark, sf).select("file_id")).distinct()
