@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import fnmatch
 import os
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
@@ -91,12 +93,19 @@ def glob_pattern(glob: str) -> str:
 
 def matches_any(path: Column, globs: Iterable[str]) -> Column:
     """Whether a glob matches the whole path; one that ends in /** also matches the folder itself."""
-    every = []
-    for glob in globs:
-        every.append(glob)
-        if glob.endswith("/**") and len(glob) > 3:
-            every.append(glob[:-3])
-    return path.rlike("|".join(f"(?:{glob_pattern(glob)})" for glob in dict.fromkeys(every))) if every else F.lit(False)
+    every = with_folders(globs)
+    return path.rlike("|".join(f"(?:{glob_pattern(glob)})" for glob in every)) if every else F.lit(False)
+
+
+def with_folders(globs: Iterable[str]) -> list[str]:
+    """The globs, and the folder itself of each that ends in /**."""
+    return list(dict.fromkeys(g for glob in globs for g in ([glob, glob[:-3]] if glob.endswith("/**") and len(glob) > 3 else [glob])))
+
+
+def glob_matcher(globs: Iterable[str]) -> re.Pattern | None:
+    """matches_any() of one path, as a pattern to match; None without globs."""
+    every = with_folders(globs)
+    return re.compile("|".join(map(fnmatch.translate, every))) if every else None
 
 
 def allowed(path: Column, allow_roots: Iterable[str], ignore: Iterable[str]) -> Column:
@@ -135,6 +144,25 @@ def safe_member(inner: Column) -> Column:
     return F.when(plain, F.lit(True)).otherwise((depth >= 0) & ~stripped.startswith("/"))
 
 
+def type_of(path: str) -> str | None:
+    """file_type() of one path."""
+    name = path.rsplit("/", 1)[-1].lower()
+    if name.endswith(".tar.gz") and len(name) > len(".gz"):
+        return "archive"
+    stem, dot, ending = name.rpartition(".")
+    return next((kind for kind, suffixes in SUFFIXES.items() if stem and f"{dot}{ending}" in suffixes.split()), None)
+
+
+def is_safe_member(inner: str) -> bool:
+    """safe_member() of one name."""
+    parts, depth = inner.lstrip("/").replace("\\", "/").split("/"), 0
+    for p in parts:
+        depth += {"": 0, ".": 0, "..": -1}.get(p, 1)
+        if depth < 0:
+            return False
+    return bool(parts[0]) or len(parts) == 1
+
+
 def parse_since(text: str | None) -> int | None:
     """Nanoseconds of a date's start in UTC; None for no filter. Malformed text is an error."""
     if text is None or text.strip().lower() in ("", "none", "null", "yyyy-mm-dd"):

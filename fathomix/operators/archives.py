@@ -43,7 +43,7 @@ def guarded(entries: DataFrame) -> DataFrame:
     return entries.where(F.assert_true(safe_member(F.col("inner_path")), F.lit("an archive member leaves its folder")).isNull())
 
 
-def _members(name: str, content: bytes, with_content: bool) -> Iterator[tuple[str, int, int | None, bytes | None]]:
+def members(name: str, content: bytes, with_content: bool) -> Iterator[tuple[str, int, int | None, bytes | None]]:
     lower = name.lower()
     if lower.endswith(".zip"):
         with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -60,6 +60,15 @@ def _members(name: str, content: bytes, with_content: bool) -> Iterator[tuple[st
             for info in t:
                 if info.isfile():
                     yield info.name, info.size, int(info.mtime) * 1_000_000_000 or None, t.extractfile(info).read() if with_content else None
+    elif lower.endswith(".7z"):
+        import py7zr  # optional
+
+        with py7zr.SevenZipFile(io.BytesIO(content)) as z:
+            members = [m for m in z.list() if not m.is_directory]
+            bodies = z.readall() if with_content else {}
+        for m in members:
+            at = int(m.creationtime.timestamp()) * 1_000_000_000 if m.creationtime else None
+            yield m.filename, m.uncompressed or 0, at, bodies[m.filename].read() if with_content else None
     else:
         raise ValueError(f"no reader for {name}")
 
@@ -74,7 +83,7 @@ def read_members(files: DataFrame, with_content: bool) -> DataFrame:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
                 try:
-                    rows = [(path, *m, None) for m in _members(path, content, with_content)]
+                    rows = [(path, *m, None) for m in members(path, content, with_content)]
                 except Exception as e:  # noqa: BLE001  the error is the row's value
                     rows = [(path, None, None, None, None, f"{type(e).__name__}: {e}")]
                 out = pd.DataFrame(rows, columns=["path", "inner_path", "size_bytes", "mtime_ns", "content", "error"], dtype=object)

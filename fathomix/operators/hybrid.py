@@ -95,4 +95,5 @@ def as_lines(results: DataFrame) -> DataFrame:
     """(file_id, line, json): how results are printed."""
     stamp = F.when(F.col("timestamp_ms").isNotNull(), F.format_string(" @%dms", "timestamp_ms")).otherwise("")
     line = F.concat(F.format_string("%6.3f", "score"), F.lit(" ["), "type", F.lit("] "), "path", stamp, F.lit(" ("), F.array_join("sources", ","), F.lit(")"))
-    return results.select("file_id", line.alias("line"), shortened(F.col("snippet"), 140).alias("shown"), F.to_json(F.struct("path", "type", "score", "snippet", "timestamp_ms", "sources")).alias("json"))
+    told = ["path", "type", "score", "snippet", "timestamp_ms", "sources", *(["explanation"] if "explanation" in results.columns else [])]
+    return results.select("file_id", line.alias("line"), shortened(F.col("snippet"), 140).alias("shown"), F.to_json(F.struct(*told)).alias("json"))

@@ -275,11 +275,15 @@ def folder_of(token: Column) -> Column:
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings: (token, id, dl, positions, folder); figures: one row (n, avgdl); text_columns in the order of their numbers."""
+    """postings: (token, id, dl, positions, folder); figures: one row (n, avgdl); text_columns in the order of their numbers.
+
+    live: (id, run) of the documents that count, if postings have a run and not all do.
+    """
 
     postings: DataFrame
     figures: DataFrame
     text_columns: tuple[str, ...]
+    live: DataFrame | None = None
 
     def wide(self, terms: list[tuple[str, bool]]) -> tuple[DataFrame, DataFrame]:
         """As scanned(), of the documents that hold one of the terms."""
@@ -294,6 +298,8 @@ class LexicalIndex:
             spark = self.postings.sparkSession
             rows = spark.createDataFrame([(x,) for x in sorted(folders)], "x string").select(folder_of(F.col("x")).alias("folder")).collect()
             read = read.where(F.col("folder").isin([r["folder"] for r in rows]))
+        if self.live is not None:
+            read = read.join(self.live, ["id", "run"], "left_semi")
         found = [F.flatten(F.collect_list(F.when(is_term(token, t), F.col("positions")))).alias(f"p{j}") for j, t in enumerate(terms)]
         return read.groupBy("id").agg(F.first("dl").alias("dl"), *found), self.figures
 
@@ -301,32 +307,44 @@ class LexicalIndex:
 POSTINGS = "token string, id {id}, dl double, positions array<bigint>, folder int"
 
 
-def write_index(docs: DataFrame, id_column: str, text_columns: list[str], folder: str) -> None:
-    """Writes the index of a table below folder: postings/folder=k, and figures."""
+def write_index(docs: DataFrame, id_column: str, text_columns: list[str], folder: str, carried: str | None = None) -> None:
+    """Writes the index of a table below folder: postings/folder=k, and figures. carried: a long column that postings keep."""
     id_type = docs.schema[id_column].dataType.simpleString()
-    tokens = docs.select(F.col(id_column).alias("id"), *(lexical_tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"c{k}") for k, c in enumerate(text_columns)))
+    tokens = docs.select(F.col(id_column).alias("id"), *([carried] if carried else []), *(lexical_tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"c{k}") for k, c in enumerate(text_columns)))
     as_text = tokens.withColumn("id", F.col("id").cast("string"))
+    own = 2 if carried else 1
 
     def post(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 places: dict[str, list[int]] = {}
-                for k, column in enumerate(row[1:]):
+                for k, column in enumerate(row[own:]):
                     for i, t in enumerate(column):
                         places.setdefault(t, []).append(k * COLUMN + i)
                 if places:
-                    yield pd.DataFrame({"token": list(places), "id": row[0], "dl": float(sum(map(len, row[1:]))), "positions": list(places.values())})
+                    more = {carried: row[1]} if carried else {}
+                    yield pd.DataFrame({"token": list(places), "id": row[0], "dl": float(sum(map(len, row[own:]))), "positions": list(places.values()), **more})
 
-    rows = as_text.mapInPandas(post, "token string, id string, dl double, positions array<bigint>").withColumn("id", F.col("id").cast(id_type)).withColumn("folder", folder_of(F.col("token")))
+    schema = "token string, id string, dl double, positions array<bigint>" + (f", {carried} long" if carried else "")
+    rows = as_text.mapInPandas(post, schema).withColumn("id", F.col("id").cast(id_type)).withColumn("folder", folder_of(F.col("token")))
     # By ranges, so that a token of very many documents spans several tasks and files.
     rows.repartitionByRange("folder", "token", "id").sortWithinPartitions("folder", "token", "id").write.partitionBy("folder").parquet(f"{folder}/postings")
     length = sum((F.size(f"c{k}") for k in range(len(text_columns))), F.lit(0)).cast("double")
     tokens.agg(F.count("*").cast("double").alias("n"), F.avg(length).alias("avgdl")).coalesce(1).write.parquet(f"{folder}/figures")
 
 
+def read_postings(spark: SparkSession, folders: list[str], id_type: str, carried: str | None = None) -> DataFrame:
+    """The postings of some folders, carried given as a name and type."""
+    schema = POSTINGS.format(id=id_type) + (f", {carried}" if carried else "")
+    out = None
+    for folder in folders:
+        one = spark.read.schema(schema).parquet(f"{folder}/postings")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def open_index(spark: SparkSession, folder: str, id_type: str, text_columns: list[str]) -> LexicalIndex:
-    postings = spark.read.schema(POSTINGS.format(id=id_type)).parquet(f"{folder}/postings")
-    return LexicalIndex(postings, spark.read.schema("n double, avgdl double").parquet(f"{folder}/figures"), tuple(text_columns))
+    return LexicalIndex(read_postings(spark, [folder], id_type), spark.read.schema("n double, avgdl double").parquet(f"{folder}/figures"), tuple(text_columns))
 
 
 # Scores --------------------------------------------------------------------------------------------------------------

@@ -1,20 +1,17 @@
 """Readers of media: images, PDF pages, video frames and speech.
 
-Decoders are optional. Where one is missing, or fails on a file, the row carries the
-error and the task goes on.
+Each is a plain function of a file's bytes, made in the task that uses it. Decoders are
+optional. Where one is missing, or fails on a file, it raises, and the caller makes that
+the file's error.
 """
 
 from __future__ import annotations
 
+import io
 import os
 import struct
 import subprocess
 import tempfile
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
-
 
 def image_size(raw: bytes) -> tuple[int, int] | None:
     """(width, height) from the header of a PNG, GIF, BMP or JPEG; None for anything else."""
@@ -39,41 +36,31 @@ def image_size(raw: bytes) -> tuple[int, int] | None:
     return None
 
 
-def image_info(content: Column) -> Column:
-    """struct(width int, height int), nulls for what is no such image."""
-
-    @F.pandas_udf("width int, height int")
-    def read(raw: pd.Series) -> pd.DataFrame:
-        sizes = [image_size(b) if b else None for b in raw]
-        return pd.DataFrame([s or (None, None) for s in sizes], columns=["width", "height"], dtype=object)
-
-    return read(content)
-
-
-def pdf_pages(content: Column) -> Column:
-    """struct(pages array<string>, error): a page that fails is empty."""
-
-    @F.pandas_udf("pages array<string>, error string")
-    def read(raw: pd.Series) -> pd.DataFrame:
-        import io
+def read_pdf(raw: bytes) -> list[str]:
+    """The text of each page; a page that fails is empty."""
+    from pypdf import PdfReader
 
-        rows = []
-        for b in raw:
-            try:
-                from pypdf import PdfReader
+    pages = []
+    for page in PdfReader(io.BytesIO(raw)).pages:
+        try:
+            pages.append(page.extract_text() or "")
+        except Exception:  # noqa: BLE001
+            pages.append("")
+    return pages
 
-                pages = []
-                for page in PdfReader(io.BytesIO(b or b"")).pages:
-                    try:
-                        pages.append(page.extract_text() or "")
-                    except Exception:  # noqa: BLE001
-                        pages.append("")
-                rows.append((pages, None))
-            except Exception as e:  # noqa: BLE001
-                rows.append((None, f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(rows, columns=["pages", "error"], dtype=object)
 
-    return read(content)
+def read_image(raw: bytes) -> tuple[int, int, bytes]:
+    """(width, height, pixels): RGB bytes where a decoder is there, the file's own bytes of a known form else."""
+    try:
+        from PIL import Image
+    except ImportError:
+        size = image_size(raw)
+        if size is None:
+            raise ValueError("no image of a known form") from None
+        return *size, raw
+    with Image.open(io.BytesIO(raw)) as image:
+        rgb = image.convert("RGB")
+        return rgb.width, rgb.height, rgb.tobytes()
 
 
 def _tool(arguments: list[str], raw: bytes, suffix: str) -> list[tuple[str, bytes]]:
@@ -83,34 +70,25 @@ def _tool(arguments: list[str], raw: bytes, suffix: str) -> list[tuple[str, byte
         with open(source, "wb") as f:
             f.write(raw)
         subprocess.run([a.format(source=source, folder=folder) for a in arguments], check=True, capture_output=True)
-        return [(name, open(os.path.join(folder, name), "rb").read()) for name in sorted(os.listdir(folder)) if name != f"in{suffix}"]
+        out = []
+        for name in sorted(os.listdir(folder)):
+            if name != f"in{suffix}":
+                with open(os.path.join(folder, name), "rb") as f:
+                    out.append((name, f.read()))
+        return out
 
 
-def video_frames(files: DataFrame, every_s: float = 2.0, most: int = 2000) -> DataFrame:
-    """(path, frame_no, timestamp_ms, image) of (path, content) by ffmpeg; times go by number. A file that fails has none."""
+def read_frames(raw: bytes, suffix: str, every_s: float = 2.0, most: int = 2000) -> list[tuple[int, bytes]]:
+    """(timestamp_ms, image) of a video by ffmpeg; times go by number."""
     every_s = max(0.1, every_s)
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
-                try:
-                    made = _tool(["ffmpeg", "-i", "{source}", "-vf", f"fps=1/{every_s}", "-frames:v", str(most), "{folder}/%08d.png"], content, os.path.splitext(path)[1])
-                except (OSError, subprocess.CalledProcessError):
-                    made = []
-                if made:
-                    yield pd.DataFrame({"path": [path] * len(made), "frame_no": range(len(made)), "timestamp_ms": [int(i * every_s * 1000) for i in range(len(made))], "image": [b for _, b in made]})
-
-    return files.select("path", "content").mapInPandas(read, "path string, frame_no long, timestamp_ms long, image binary")
+    made = _tool(["ffmpeg", "-i", "{source}", "-vf", f"fps=1/{every_s}", "-frames:v", str(most), "{folder}/%08d.png"], raw, suffix)
+    return [(int(i * every_s * 1000), image) for i, (_, image) in enumerate(made)]
 
 
-def speech_segments(files: DataFrame, factory: Callable[[], Callable[[bytes], list[tuple[float, float, str]]]]) -> DataFrame:
-    """(path, start_s, end_s, text) of (path, content); a worker builds one transcriber and keeps it."""
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        transcribe = factory()
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
-                if rows := [(path, *s) for s in transcribe(content)]:
-                    yield pd.DataFrame(rows, columns=["path", "start_s", "end_s", "text"])
-
-    return files.select("path", "content").mapInPandas(read, "path string, start_s double, end_s double, text string")
+def read_sound(raw: bytes, suffix: str) -> bytes | None:
+    """The sound of a video or audio file as mono WAV of 16 kHz, by ffmpeg; None if it has none."""
+    try:
+        made = _tool(["ffmpeg", "-i", "{source}", "-vn", "-ac", "1", "-ar", "16000", "{folder}/out.wav"], raw, suffix)
+    except subprocess.CalledProcessError:
+        return None
+    return made[0][1] if made else None

@@ -5,7 +5,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fathomix.config import Config, set_dotted
 from fathomix.functions import paths, text, vectors
 
 
@@ -76,16 +75,3 @@ def test_since():
 def test_normalized(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
     assert [list(map(lambda x: round(x, 9), r[0])) for r in df.select(vectors.normalized(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0]]
-
-
-def test_config(tmp_path):
-    c = Config()
-    set_dotted(c, "indexing.chunk_chars", "10")
-    set_dotted(c, "roots", "/a, /b")
-    set_dotted(c, "archives.extract_small", "no")
-    c.save(str(tmp_path / "c.json"))
-    again = Config.read(str(tmp_path / "c.json"))
-    assert (again.indexing.chunk_chars, again.roots, again.archives.extract_small) == (10, ["/a", "/b"], False)
-    (tmp_path / "d.json").write_text('{"indexing": {"unknown": 1, "chunk_chars": 7}}')
-    with pytest.warns(UserWarning):
-        assert Config.read(str(tmp_path / "d.json")).indexing.chunk_chars == 7
