@@ -90,7 +90,7 @@ def nested(df: DataFrame, **own: Column) -> DataFrame:
 
 def heavy_from(total: int) -> int:
     """Rows from which a key counts as heavy; of total rows less than HEAVY_KEYS keys can have more."""
-    return max(1_000, total // HEAVY_KEYS)
+    return max(200, total // HEAVY_KEYS)
 
 
 def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, heavy: DataFrame | None = None) -> DataFrame:
