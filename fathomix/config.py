@@ -58,6 +58,8 @@ class Search:
     w_fts: float = 0.3
     top: int = 20
     rerank_items: int = 30
+    #: How vectors are searched: exact, or lsh, which finds about the nearest.
+    nearest: str = "exact"
 
 
 @dataclass

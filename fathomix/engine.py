@@ -262,7 +262,8 @@ class Engine:
         hits = []
         for space, factory in (("text", self.text_embedder), ("image", self.embedder)):
             q = [float(x) for x in factory().embed_texts([query])[0]]
-            hits.append(knn.knn(vectors, q, s.vector_k, space).select("vector_id", "sim"))
+            nearest = knn.knn_lsh if s.nearest == "lsh" and not vectors.where(F.col("space") == space).isEmpty() else knn.knn
+            hits.append(nearest(vectors, q, s.vector_k, space).select("vector_id", "sim"))
         vec = hybrid.file_scores(*hits, chunks, frames)
         docs, index = self.table("lexical"), self.lexical_index()
         found = lexical.search(docs if index is None else index, query, "file_id", SEARCHED, s.fts_k)

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fathomix.functions.vectors import cosine_to, doubles, normalized
 
-#: Queries that are shipped to tasks at once; more go block by block.
-QUERY_BLOCK = 1024
+#: Queries and vectors that meet in one task, about.
+QUERY_BLOCK, DATA_BLOCK = 8_192, 16_384
 
 
 def checked(vectors: DataFrame, dim: int, column: str = "embedding") -> DataFrame:
@@ -30,42 +28,52 @@ def knn(vectors: DataFrame, query: list[float], k: int, space: str | None = None
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vector_id, sim) of each query (query_id, embedding) against all vectors.
 
-    A block of queries is shipped with the task; each batch of vectors gives one
-    matrix product and passes on only its k best a query.
+    Both sides are dealt into blocks; each pair of blocks is a task's work, one matrix
+    product, and passes on only the k best a query.
     """
-    rows = queries.select("query_id", doubles(F.col("embedding")).alias("q")).orderBy("query_id")
-    n = rows.count()
-    numbered = rows.withColumn("_i", F.row_number().over(W.orderBy("query_id")) - 1) if n > QUERY_BLOCK else rows.withColumn("_i", F.lit(0))
-    out = None
-    for at in range(0, max(n, 1), QUERY_BLOCK):
-        block = numbered.where((F.col("_i") >= at) & (F.col("_i") < at + QUERY_BLOCK)).limit(QUERY_BLOCK).collect()
-        ids = np.array([r["query_id"] for r in block], np.int64)
-        matrix = np.array([r["q"] for r in block], float).reshape(len(block), -1)
-        matrix = matrix / (np.sqrt((matrix**2).sum(axis=1, keepdims=True)) + 1e-12)
-
-        def nearest(frames: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                if not len(frame) or not len(ids):
-                    continue
-                data = np.stack(frame["embedding"].to_numpy()).astype(float)
-                data /= np.sqrt((data**2).sum(axis=1, keepdims=True)) + 1e-12
-                own, sims = frame["vector_id"].to_numpy(), matrix @ data.T
-                order = np.lexsort((np.broadcast_to(own, sims.shape), -sims), axis=1)[:, :k]
-                width = order.shape[1]
-                yield pd.DataFrame({"query_id": np.repeat(ids, width), "vector_id": own[order].ravel(), "sim": np.take_along_axis(sims, order, 1).ravel()})
-
-        part = vectors.select(F.col("vector_id").cast("long").alias("vector_id"), "embedding").mapInPandas(nearest, "query_id long, vector_id long, sim double")
-        out = part if out is None else out.unionByName(part)
+    asked = queries.select("query_id", F.col("embedding").alias("v"))
+    data = vectors.select(F.col("vector_id").cast("long").alias("vector_id"), F.col("embedding").alias("v"))
+    n_queries, n_data = asked.count(), data.count()
+    q_blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    # Few vectors are still spread over the cores there are.
+    d_blocks = max(1, -(-n_data // DATA_BLOCK), min(vectors.sparkSession.sparkContext.defaultParallelism, n_data // 1_024))
+
+    def dealt(df: DataFrame, key: str, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
+        mine = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_n)).cast("int"))
+        return mine.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1)))).repartition(min(4_096, q_blocks * d_blocks), "qb", "db")
+
+    def unit(rows: pd.Series) -> np.ndarray:
+        matrix = np.stack(rows.to_numpy()).astype(float)
+        return matrix / (np.sqrt((matrix**2).sum(axis=1, keepdims=True)) + 1e-12)
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "vector_id": [], "sim": []}).astype({"query_id": "int64", "vector_id": "int64", "sim": float})
+        other, own = unit(b["v"]), b["vector_id"].to_numpy()
+        ids, found, best = [], [], []
+        for at in range(0, len(a), 256):
+            part = a.iloc[at : at + 256]
+            sims = unit(part["v"]) @ other.T
+            order = np.lexsort((np.broadcast_to(own, sims.shape), -sims), axis=1)[:, :k]
+            ids.append(np.repeat(part["query_id"].to_numpy(), order.shape[1]))
+            found.append(own[order].ravel())
+            best.append(np.take_along_axis(sims, order, 1).ravel())
+        return pd.DataFrame({"query_id": np.concatenate(ids), "vector_id": np.concatenate(found), "sim": np.concatenate(best)})
+
+    left, right = dealt(asked, "query_id", "qb", q_blocks, "db", d_blocks), dealt(data, "vector_id", "db", d_blocks, "qb", q_blocks)
+    out = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInPandas(nearest, "query_id long, vector_id long, sim double")
     order = W.partitionBy("query_id").orderBy(F.desc("sim"), "vector_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vector_id", "sim")
 
 
-def knn_lsh(vectors: DataFrame, query: list[float], k: int, bucket: float = 0.5, tables: int = 8, seed: int = 7) -> DataFrame:
-    """About the k nearest, by bucketed random projections of unit vectors."""
+def knn_lsh(vectors: DataFrame, query: list[float], k: int, space: str | None = None, bucket: float = 0.5, tables: int = 8, seed: int = 7) -> DataFrame:
+    """About the k nearest, by bucketed random projections of unit vectors: (vector_id, sim)."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.linalg import Vectors
 
+    if space is not None:
+        vectors = vectors.where(F.col("space") == space)
     unit = vectors.select("vector_id", array_to_vector(normalized(doubles(F.col("embedding")))).alias("v"))
     length = sum(x * x for x in query) ** 0.5 + 1e-12
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(unit)

@@ -12,6 +12,8 @@ from pyspark.sql.types import StructType
 
 from fathomix.functions.paths import allowed, file_type, pruned
 
+#: Folders to share out at least, if there are so many, and folders that are opened for it at most, about.
+ENOUGH, MOST_OPENED = 64, 512
 SCAN = "path string, size_bytes long, mtime_ns long, ctime_ns long"
 
 
@@ -40,14 +42,13 @@ class FolderReader(DataSourceReader):
         self.follow = options.get("followSymlinks", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        out = []
-        for root in self.roots:
-            if os.path.isfile(root):
-                out.append(InputPartition((root, False)))
-            elif os.path.isdir(root):
-                out.append(InputPartition((root, False)))
-                out += [InputPartition((e.path, True)) for e in sorted(os.scandir(root), key=lambda e: e.name) if e.is_dir(follow_symlinks=self.follow)]
-        return out or [InputPartition(("", False))]
+        """Folders are opened level by level until there are enough to share out; what is not opened is walked whole by its task."""
+        shallow = [r for r in self.roots if os.path.isfile(r)]
+        whole = [r for r in self.roots if os.path.isdir(r)]
+        while whole and len(whole) < ENOUGH and len(shallow) < MOST_OPENED:
+            below = [e.path for folder in whole for e in sorted(os.scandir(folder), key=lambda e: e.name) if e.is_dir(follow_symlinks=self.follow)]
+            shallow, whole = shallow + whole, below
+        return [InputPartition((p, False)) for p in shallow] + [InputPartition((p, True)) for p in whole] or [InputPartition(("", False))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         path, whole = partition.value
@@ -99,8 +100,3 @@ def decoded(content: Column, max_bytes: int = 20 * 1024 * 1024) -> Column:
         return raw.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
 
     return decode(F.substring(content, 1, max_bytes))
-
-
-def decoded_natively(content: Column, max_bytes: int = 20 * 1024 * 1024) -> Column:
-    """As decoded, within the JVM; drops U+FFFD that the text itself holds, too."""
-    return F.regexp_replace(F.make_valid_utf8(F.substring(content, 1, max_bytes).cast("string")), "\uFFFD", "")

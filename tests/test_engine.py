@@ -45,6 +45,9 @@ def test_index_and_search(spark, tmp_path):
     assert engine.table("chunks").count() == engine.table("vectors").count() == 3
     assert {r.path.rsplit("/", 1)[-1] for r in engine.search("zebra", type_filter="text", path_glob="*/random*").collect()} == {"random.txt"}
     assert engine.search("zebra", since="2999-01-01").count() == 0
+    engine.config.search.nearest = "lsh"
+    assert engine.search("zebra").first().path.endswith(("random.txt", "inner.md"))
+    engine.config.search.nearest = "exact"
     told = engine.search("x", ask=lambda p: 'Sure {"query": "zebra", "type": "nonsense", "since": "bad"} ').collect()
     assert any(r.path.endswith("random.txt") for r in told)
     engine.wipe()

@@ -14,7 +14,7 @@ from fathomix.config import Config, LanguageModel, Security, SettingError, chang
 from fathomix.functions import paths
 from fathomix.guard import OutboundBlocked, is_local, local_only
 from fathomix.sources import media
-from fathomix.sources.files import binary_files, decoded, decoded_natively
+from fathomix.sources.files import ENOUGH, FolderReader, binary_files, decoded
 
 
 def test_image_headers():
@@ -42,7 +42,7 @@ def test_paths_of_one_file():
 def test_decoding(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("aé漢".encode() + b"\xff" + b"b")
     df = binary_files(spark, str(tmp_path))
-    assert df.select(decoded(F.col("content"))).first()[0] == "aé漢b" == df.select(decoded_natively(F.col("content"))).first()[0]
+    assert df.select(decoded(F.col("content"))).first()[0] == "aé漢b"
     assert df.select(decoded(F.col("content"), 5)).first()[0] == "aé"
     assert df.first().mtime_ns > 0 and df.first().path == str(tmp_path / "a.txt")
 
@@ -127,3 +127,16 @@ def test_model_server(spark):
     with local_only():
         assert ask("hello") == "m: hello"
     server.shutdown()
+
+
+def test_deep_folders_are_shared_out(tmp_path):
+    for i in range(9):
+        for j in range(9):
+            (tmp_path / f"only/a{i}/b{j}/c").mkdir(parents=True)
+            (tmp_path / f"only/a{i}/b{j}/c/x.txt").write_text("x")
+            (tmp_path / f"only/a{i}/y.txt").write_text("y")
+    reader = FolderReader({"roots": str(tmp_path)})
+    parts = reader.partitions()
+    assert sum(p.value[1] for p in parts) >= ENOUGH
+    paths_read = [row[0] for p in parts for row in reader.read(p)]
+    assert len(paths_read) == len(set(paths_read)) == 90

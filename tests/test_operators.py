@@ -231,5 +231,33 @@ def test_knn(spark):
     assert knn.knn(df, data[5].tolist(), 0).count() == 0
     with pytest.raises(Exception, match="components"):
         knn.checked(df, 9).collect()
-    near = {r.vector_id for r in knn.knn_lsh(df, data[5].tolist(), 4).collect()}
-    assert 5 in near
+
+
+def test_knn_batch_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(knn, "DATA_BLOCK", 40)
+    rng = np.random.default_rng(1)
+    data = rng.normal(size=(230, 6))
+    data[100:150] = data[0]  # ties go to the smaller id
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vector_id long, embedding array<double>")
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    queries = df.where("vector_id % 5 = 0").select(F.col("vector_id").alias("query_id"), "embedding")
+    got = {}
+    for r in knn.knn_batch(df, queries, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vector_id)
+    assert set(got) == set(range(0, 230, 5))
+    for q, found in got.items():
+        sims = unit @ unit[q]
+        assert np.allclose(sims[found], np.sort(sims)[::-1][:4]) and found[0] == min(np.flatnonzero(np.isclose(sims, sims.max(), atol=1e-12)))
+    assert knn.knn_batch(df.limit(0), queries, 4).count() == 0 == knn.knn_batch(df, queries.limit(0), 4).count()
+
+
+def test_lsh_recall(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("vector_id"), "embedding").cache()
+    rows = {r.vector_id: list(map(float, r.embedding)) for r in vectors.where("vector_id % 400 = 3").collect()}
+    found = wanted = 0
+    for q in rows.values():
+        exact = {r.vector_id for r in knn.knn(vectors, q, 10).collect()}
+        found += len(exact & {r.vector_id for r in knn.knn_lsh(vectors, q, 10).collect()})
+        wanted += len(exact)
+    assert found >= 0.9 * wanted and wanted >= 50
