@@ -636,7 +636,7 @@ def load_is_high(spark, sf):
     return e.select("event_id", load.high_reason((F.col("event_id") % 50).cast("double"), F.col("value"), load1, F.lit(6.4)).alias("reason"))
 
 
-@query(
+_DEBOUNCE_SQL = (
     f"""WITH {V.LOAD_SQL}, s AS (SELECT *, epoch(ts) AS at_s FROM load_v),
     a AS (SELECT *, coalesce(lag(high) OVER w <> high, true) AS is_first FROM s WINDOW w AS (PARTITION BY user_id ORDER BY at_s, event_id)),
     b AS (SELECT *, sum(is_first::INT) OVER (PARTITION BY user_id ORDER BY at_s, event_id) AS island FROM a),
@@ -644,6 +644,9 @@ def load_is_high(spark, sf):
     d AS (SELECT *, CASE WHEN high AND held >= 3600 THEN true WHEN NOT high AND held >= 7200 THEN false END AS told FROM c)
     SELECT event_id, user_id, coalesce(last_value(told IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY at_s, event_id), false) AS paused FROM d"""
 )
+
+
+@query(_DEBOUNCE_SQL)
 def load_debounce(spark, sf):
     samples = V.load(spark, sf).withColumn("at_s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     return load.debounced(samples, "user_id", "at_s", "high", 3600, 7200).select("event_id", "user_id", "paused")
@@ -672,3 +675,22 @@ def stream_index_once(spark, sf):
     from fathomix.streaming.index import index_available
 
     return index_available(spark, f"{sf.rstrip('/')}/documents.parquet")
+
+
+@query(_DEBOUNCE_SQL)
+def stream_debounce(spark, sf):
+    from fathomix.streaming.index import debounced_stream, drained, state_in_rocksdb, table_stream
+
+    events = table_stream(spark, f"{sf.rstrip('/')}/events.parquet")
+    samples = events.select(F.col("user_id").cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at_s"), (F.col("value") > 70).alias("high"))
+    with state_in_rocksdb(spark):
+        return drained(debounced_stream(samples, 3600, 7200)).select("event_id", F.col("key").alias("user_id"), "paused")
+
+
+@query(f"WITH {V.FILES_SQL} SELECT DISTINCT regexp_replace(path, '/doc_.*', '') AS path FROM files_v")
+def stream_dedup_paths(spark, sf):
+    from fathomix.streaming.index import distinct_paths, drained, table_stream
+
+    docs = table_stream(spark, f"{sf.rstrip('/')}/documents.parquet")
+    seen = docs.select(F.regexp_replace(F.expr(V._PATH), "/doc_.*", "").alias("path"), F.timestamp_seconds(F.lit(1704067200)).alias("at"))
+    return drained(distinct_paths(seen)).select("path")

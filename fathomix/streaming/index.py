@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from fathomix.functions.paths import file_type
 from fathomix.operators.indexing import text_chunks
@@ -20,31 +22,53 @@ def run_stream(source: DataFrame, each: Callable[[DataFrame, int], None], checkp
     return (writer.trigger(availableNow=True) if every_s is None else writer.trigger(processingTime=f"{every_s} seconds")).start()
 
 
-def index_available(spark: SparkSession, table: str) -> DataFrame:
-    """Chunks per text file of a table, indexed as a stream of files that ends with what is there.
+def table_stream(spark: SparkSession, table: str, files_a_batch: int = 64) -> DataFrame:
+    """A Parquet table as a stream of its files."""
+    schema = spark.read.parquet(table).schema
+    # A single-file table is read through its folder and name.
+    is_folder = any(f.rsplit("/", 2)[-2].endswith(".parquet") for f in spark.read.parquet(table).inputFiles()[:1])
+    parent, name = (table, "*.parquet") if is_folder else table.rsplit("/", 1)
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_a_batch).parquet(parent)
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """The rows of a stream that ends with what is there, written batch by batch and reread.
 
     A batch writes below a folder of its own number, replacing it, so a batch that is
     run again after a failure leaves no rows twice.
     """
+    spark, schema = stream.sparkSession, stream.schema
     folder = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(table).schema
-    # A single-file table is read through its folder and name.
-    is_folder = any(f.rsplit("/", 2)[-2].endswith(".parquet") for f in spark.read.parquet(table).inputFiles()[:1])
-    parent, name = (table, "*.parquet") if is_folder else table.rsplit("/", 1)
-    source = spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", 64).parquet(parent)
-    files = source.select(F.col("doc_id").alias("file_id"), F.expr(_PATH).alias("path"), "text").withColumn("type", file_type(F.col("path"))).where("type = 'text'")
 
     def each(batch: DataFrame, number: int) -> None:
-        chunks = text_chunks(batch.select("file_id", "text")).select("file_id", "chunk_no")
-        chunks.withColumn("type", F.lit("text")).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    run_stream(stream, each, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(StructType([*schema, StructField("batch", IntegerType())])).parquet(f"{folder}/rows").drop("batch")
+
+
+def index_available(spark: SparkSession, table: str) -> DataFrame:
+    """Chunks per text file of a table, indexed as a stream of files that ends with what is there."""
+    source = table_stream(spark, table)
+    files = source.select(F.col("doc_id").alias("file_id"), F.expr(_PATH).alias("path"), "text").withColumn("type", file_type(F.col("path"))).where("type = 'text'")
+    chunks = text_chunks(files.select("file_id", "text")).select("file_id", "chunk_no", F.lit("text").alias("type"))
+    return drained(chunks).groupBy("file_id", "type").agg(F.count("chunk_no").alias("n_chunks"))
+
 
-    run_stream(files, each, f"{folder}/checkpoint").awaitTermination()
-    rows = spark.read.schema("file_id long, chunk_no long, type string, batch int").parquet(f"{folder}/rows")
-    return rows.groupBy("file_id", "type").agg(F.count("chunk_no").alias("n_chunks"))
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State of processors lives in RocksDB while the block runs."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def debounced_stream(samples: DataFrame, pause_after_s: float, resume_after_s: float) -> DataFrame:
-    """(key, at_s, paused) of a stream (key, at_s, high): the state machine of load shedding.
+    """(key, event_id, at_s, paused) of a stream (key, event_id, at_s, high): the state machine of load shedding.
 
     State of a key: paused, and since when the present run lasts.
     """
@@ -56,7 +80,7 @@ def debounced_stream(samples: DataFrame, pause_after_s: float, resume_after_s: f
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
             paused, high, since = self.state.get() if self.state.exists() else (False, None, 0.0)
-            every = pd.concat(list(rows)).sort_values("at_s", kind="stable")
+            every = pd.concat(list(rows)).sort_values(["at_s", "event_id"], kind="stable")
             told = []
             for at, now in zip(every["at_s"], every["high"]):
                 if now != high:
@@ -67,12 +91,12 @@ def debounced_stream(samples: DataFrame, pause_after_s: float, resume_after_s: f
                     paused = False
                 told.append(paused)
             self.state.update((paused, high, since))
-            yield pd.DataFrame({"key": key[0], "at_s": every["at_s"].to_numpy(), "paused": told})
+            yield pd.DataFrame({"key": key[0], "event_id": every["event_id"].to_numpy(), "at_s": every["at_s"].to_numpy(), "paused": told})
 
         def close(self) -> None:
             pass
 
-    return samples.groupBy("key").transformWithStateInPandas(Debounce(), "key long, at_s double, paused boolean", "append", "None")
+    return samples.groupBy("key").transformWithStateInPandas(Debounce(), "key long, event_id long, at_s double, paused boolean", "append", "None")
 
 
 def distinct_paths(stream: DataFrame, within: str = "30 seconds") -> DataFrame:

@@ -17,7 +17,7 @@ from fathomix.sources.extract import Readers
 
 # Readers of this module go to workers, which cannot import it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
-from fathomix.streaming.index import debounced_stream, distinct_paths
+from fathomix.streaming.index import debounced_stream, distinct_paths, drained, state_in_rocksdb, table_stream
 
 
 def test_index_and_search(spark, tmp_path):
@@ -55,13 +55,15 @@ def test_index_and_search(spark, tmp_path):
 
 
 def test_debounced_stream(spark, tmp_path):
-    rows = [(1, float(i), i < 10) for i in range(40)] + [(2, float(i), False) for i in range(5)]
-    spark.createDataFrame(rows, "key long, at_s double, high boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    source = spark.readStream.schema("key long, at_s double, high boolean").parquet(str(tmp_path / "in"))
-    q = debounced_stream(source, 4.0, 6.0).writeStream.format("memory").queryName("debounced").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {(r.key, r.at_s): r.paused for r in spark.table("debounced").collect()}
+    """Over several batches: state goes on from one to the next."""
+    rows = [(1, i, float(i), i < 10) for i in range(40)] + [(2, i, float(i), False) for i in range(5)]
+    for part in range(4):
+        spark.createDataFrame([r for r in rows if r[1] // 10 == part], "key long, event_id long, at_s double, high boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in.parquet"))
+        time.sleep(0.02)
+    with state_in_rocksdb(spark):
+        out = drained(debounced_stream(table_stream(spark, str(tmp_path / "in.parquet"), 1), 4.0, 6.0)).collect()
+    assert len(out) == 45
+    got = {(r.key, r.at_s): r.paused for r in out}
     assert {at for (k, at), p in got.items() if p and k == 1} == {float(i) for i in range(4, 16)}
     assert not any(p for (k, _), p in got.items() if k == 2)
 
