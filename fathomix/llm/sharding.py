@@ -11,7 +11,8 @@ so shards end within a fraction of a percent of each other unless a single group
 exceeds a shard's share.
 
 Slots are numbered without a global sort: rows fall into cells within a shard by
-hash, cells are numbered through prefix sums, and rows within their cell.
+hash, cells are numbered through prefix sums, and rows within their cell; rows equal in
+id and text go through as one with a count.
 
 Defined results: a null text has no bytes, size 1 and crc32 0, and belongs to the
 group of empty texts; a null id is numbered like another; ties between groups go
@@ -31,6 +32,8 @@ from fathomix.llm.common import MAX_BUCKETS, materialize
 FINE = 1024
 #: Units that the lighter groups are poured into.
 SAND = 16_384
+#: Equal rows that one task spells out at once, at most.
+TIMES = 65_536
 #: Rows of a shard that are sorted together to number them, about.
 CELL_ROWS = 2_048
 
@@ -73,14 +76,23 @@ def assign_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     alone = spark.createDataFrame([(unit, shard) for (light, unit), shard in shard_of.items() if not light], "key long, own_shard int")
     shard = F.coalesce("own_shard", F.get(sand, F.pmod("key", F.lit(SAND)).cast("int")))
     cells = max(1, min(MAX_BUCKETS, totals["rows"] // (shards * CELL_ROWS)))
-    dealt = base.join(F.broadcast(alone), "key", "left").select(
-        "doc_id", "size", "text_crc32", shard.alias("shard"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(cells)).alias("cell")
+    # Rows equal in id and text are one row with a count, so that none of them meet in a cell.
+    once = base.groupBy("key", "doc_id", "size", "text_crc32").agg(F.count("*").alias("times"))
+    dealt = once.join(F.broadcast(alone), "key", "left").select(
+        "doc_id", "size", "text_crc32", "times", shard.alias("shard"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(cells)).alias("cell")
     )
     before = W.partitionBy("shard").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    firsts = dealt.groupBy("shard", "cell").count().select("shard", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    within = F.row_number().over(W.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size"))
-    return (
-        dealt.withColumn("n", within)
-        .join(firsts, ["shard", "cell"])
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("n") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    )
+    firsts = dealt.groupBy("shard", "cell").agg(F.sum("times").alias("n")).select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = W.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, -1)
+    numbered = dealt.withColumn("ahead", F.coalesce(F.sum("times").over(within), F.lit(0))).join(firsts, ["shard", "cell"]).withColumn("slot", F.col("first") + F.col("ahead"))
+    return spelled_out(numbered).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def spelled_out(numbered: DataFrame) -> DataFrame:
+    """Each row times times, with its slot and those behind it; what repeats often is shared out in runs of TIMES rows."""
+    few = numbered.where(F.col("times") <= TIMES)
+    many = numbered.where(F.col("times") > TIMES).withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / TIMES)))).repartition("shard", "slot", "run")
+    many = many.select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("run") * TIMES).alias("slot"), F.least(F.lit(TIMES), F.col("times") - F.col("run") * TIMES).alias("left"))
+    few = few.withColumn("left", F.col("times"))
+    every = few.select("doc_id", "size", "text_crc32", "shard", "slot", "left").unionByName(many.select("doc_id", "size", "text_crc32", "shard", "slot", "left"))
+    return every.withColumn("slot", F.explode(F.sequence(F.col("slot"), F.col("slot") + F.col("left") - 1)))

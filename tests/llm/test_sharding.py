@@ -43,6 +43,26 @@ def test_cases(spark, monkeypatch):
     assert sorted(map(repr, got)) == sorted(map(repr, again))
 
 
+def test_one_row_many_times(spark, monkeypatch):
+    monkeypatch.setattr(S, "CELL_ROWS", 8)
+    monkeypatch.setattr(S, "TIMES", 7)
+    rows = [(1, "the same row")] * 200 + [(i, f"own {i}") for i in range(150)] + [(None, "no id")] * 50
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows, 3)
+
+
+def test_spread_is_near_that_of_plain_scheduling(spark):
+    """Every group scheduled by itself, against light ones pooled in units: both end within a few bytes of each other."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    groups = {}
+    for r in docs.select("text").collect():
+        groups[r.text or ""] = groups.get(r.text or "", 0) + len((r.text or "").encode()) + 1
+    plain = [0] * 16
+    for text, shard in S.lpt([(n, t) for t, n in groups.items()], 16).items():
+        plain[shard] += groups[text]
+    loads = {r.shard: r.bytes for r in S.assign_shards(docs, 16).groupBy("shard").agg({"size": "sum"}).withColumnRenamed("sum(size)", "bytes").collect()}
+    assert sum(loads.values()) == sum(plain) and max(loads.values()) <= max(plain) + 0.005 * sum(plain) / 16
+
+
 def test_light_groups_share_units(spark, monkeypatch):
     monkeypatch.setattr(S, "FINE", 4)
     rows = [(i, f"text {i}") for i in range(2000)]
