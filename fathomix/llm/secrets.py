@@ -98,6 +98,8 @@ def _hashed(name: str) -> int:
 def signature(lead: str, token: str) -> tuple:
     """What a token and the mark before it say by themselves, one value a feature; most tokens share theirs with others."""
     n = len(token)
+    if not lead and n > 1 and _PLAIN.fullmatch(token):
+        return plain_signature(token, n)
     classes = token.translate(_CLASSES)
     digits, upper, lower = classes.count("0"), classes.count("A"), classes.count("a")
     squeezed = _REPEATS.sub(r"\1\1", classes)
@@ -120,6 +122,15 @@ def signature(lead: str, token: str) -> tuple:
     )
 
 
+_PLAIN = re.compile("[a-z]+")
+
+
+def plain_signature(token: str, n: int) -> tuple:
+    """signature() of a word in small letters, which most tokens are."""
+    length = min(n // 4, 10)
+    return ("bias", "aa", length, (1, length), (8 * len(set(token)) // n, length), 0, False, (False, False), 0, _CONSONANTS.search(token) is not None, False, False, "aa", "")
+
+
 def own_features(signed: tuple) -> list[int]:
     return [_hashed(f"own{i}={v}") for i, v in enumerate(signed)]
 
@@ -314,7 +325,7 @@ class Tagger:
             if len(self.signs) >= KEPT:
                 self.signs.clear()
             own = self.signs[signed] = tuple(self.gains[own_features(signed)].sum(axis=0).tolist())
-        self.new.append((*own, context_hash(token) % FEATURES, is_key(token)))
+        self.new.append((*own, context_hash(token) % FEATURES, len(token) > 4 and is_key(token)))
         return i
 
     def settle(self) -> None:

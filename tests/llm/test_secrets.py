@@ -187,3 +187,17 @@ def test_clashing_columns_repeated_rows_and_long_texts(spark):
     assert len(digests) == 5 and {r.n_assign for r in digests if r.doc_id == 1} == {1}
     at = long.index("token")
     assert [r.spans for r in digests if r.doc_id == 2] == [f"assign:{at}:{at + 49},hex:{at + 9}:{at + 49}"]
+
+
+def test_signature_of_plain_words():
+    import random
+
+    rng = random.Random(1)
+    plain, S._PLAIN = S._PLAIN, re.compile("(?!)")
+    try:
+        words = ["".join(rng.choice("abcdeghklmnrstz") for _ in range(rng.randrange(2, 60))) for _ in range(3000)]
+        slow = [S.signature("", w) for w in words]
+    finally:
+        S._PLAIN = plain
+    assert [S.signature("", w) for w in words] == slow
+    assert min(map(len, S.KEYWORDS)) > 4
