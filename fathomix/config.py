@@ -25,6 +25,8 @@ class Indexing:
     inner_paths: int = 5000
     rescan_interval_s: float = 30.0
     hash_dim: int = 384
+    #: Changed files that are indexed together; then the run commits, looks at the load, and goes on.
+    batch_files: int = 1_000_000
     #: Bytes of files that one task reads, about.
     task_bytes: int = 64 * 1024 * 1024
 

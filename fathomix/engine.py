@@ -102,23 +102,35 @@ class Engine:
         return scan_folders(self.spark, roots, c.allow_roots, c.ignore)
 
     def index(self, roots: list[str], gate: Gate | None = None) -> dict[str, int]:
-        """Indexes what is new or changed below roots; counts by status. A closed gate holds the run before each of its steps."""
-        began, state = int(time.time() * 1000), self.store.manifest()["state"]
+        """Indexes what is new or changed below roots; counts by status.
+
+        Files go in batches; each is committed, so a run that is stopped loses its last batch
+        at most. A closed gate holds the run before each of a batch's steps.
+        """
+        state = self.store.manifest()["state"] | {"last_scan_ms": int(time.time() * 1000), "enqueued": 0, "processed": 0, "skipped": 0, "errors": 0}
+        try:
+            while self._batch(roots, gate, state) == self.config.indexing.batch_files:
+                pass
+        finally:
+            self._drop_kept()
+        return self._counts(self.table("files"))
+
+    def _batch(self, roots: list[str], gate: Gate | None, state: dict) -> int:
+        """Indexes up to batch_files changed files; how many they were."""
 
         def hold() -> None:
             if gate is not None:
                 gate.wait(lambda g: self._tell(state, paused=True, pause_reason=g.reason, paused_for_s=g.paused_for_s))
+            state.update(paused=False, pause_reason=None, paused_for_s=None)
 
         hold()
         old = {name: self.table(name) for name in SCHEMAS}
-        fresh = self._kept("fresh", tables.changed(self.scan(roots), old["files"]))
-        state |= {"enqueued": fresh.count(), "last_scan_ms": began, "paused": False, "pause_reason": None, "paused_for_s": None}
-        if not state["enqueued"]:
-            # Nothing to do writes nothing: readers and later runs see the tables as they are.
-            self._tell(state, processed=0, skipped=0, errors=0)
-            self._drop_kept()
-            return self._counts(old["files"])
-        self._tell(state)
+        fresh = self._kept("fresh", tables.changed(self.scan(roots), old["files"]).limit(self.config.indexing.batch_files))
+        n = fresh.count()
+        self._tell(state, enqueued=state["enqueued"] + n)
+        if not n:
+            # Nothing to do writes no tables: readers and later runs see them as they are.
+            return 0
         hold()
         c = self.config
         limits = Limits(c.indexing.max_text_bytes, c.archives.size_threshold, c.archives.extract_small, c.video.frame_every_seconds, c.video.max_frames, glob_matcher(c.ignore))
@@ -126,10 +138,11 @@ class Engine:
         hold()
         written = self._tables(fresh, parts, old, state)
         told = parts.where("part = 'file'").agg(F.count_if(F.col("error").isNotNull()).alias("errors"), F.count_if(F.col("skipped").isNotNull()).alias("skipped"), F.count("*").alias("n")).first()
-        state |= {"errors": told["errors"], "skipped": told["skipped"], "processed": told["n"] - told["errors"] - told["skipped"], "updated_at_ms": int(time.time() * 1000)}
-        self.store.commit(written, state)
+        for key, more in (("errors", told["errors"]), ("skipped", told["skipped"]), ("processed", told["n"] - told["errors"] - told["skipped"])):
+            state[key] += more
+        self.store.commit(written, state | {"updated_at_ms": int(time.time() * 1000)})
         self._drop_kept()
-        return self._counts(self.table("files"))
+        return n
 
     def _tell(self, state: dict, **more) -> None:
         state |= {**more, "updated_at_ms": int(time.time() * 1000)}

@@ -85,8 +85,11 @@ class Gate:
 
     def look(self) -> bool:
         """Takes a sample; whether work is to wait."""
-        now, why = self.clock(), high_reason(self.sampler(), self.limits)
-        high = why is not None
+        try:
+            why = high_reason(self.sampler(), self.limits)
+        except Exception:  # noqa: BLE001  a load that cannot be told holds nothing up
+            why = None
+        now, high = self.clock(), why is not None
         if high != self._high:
             self._high, self._since = high, now
         held = now - self._since

@@ -26,12 +26,12 @@ def virtual_path(archive: Column, inner: Column) -> Column:
 
 
 def listed_paths(entries: DataFrame, key: str = "file_id", order: str = "inner_path", most: int = LISTED) -> DataFrame:
-    """(key, n_entries, inner_paths): the first paths of each archive, one a line.
+    """(key, n_entries, inner_paths): the first paths of each archive, one a line, folder by folder.
 
-    Members are ranked before they are gathered, so no row ever holds more than the
+    Paths are ordered by their components. Members are ranked before they are gathered, so no row ever holds more than the
     most that are listed.
     """
-    rank = F.row_number().over(W.partitionBy(key).orderBy(order, "inner_path"))
+    rank = F.row_number().over(W.partitionBy(key).orderBy(F.split(order, "/"), "inner_path"))
     first = entries.select(key, *dict.fromkeys((order, "inner_path"))).withColumn("n", rank).where(F.col("n") <= most)
     gathered = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "inner_path"))).alias("some"))
     listed = gathered.select(key, F.array_join(F.transform("some", lambda x: x["inner_path"]), "\n").alias("inner_paths"))

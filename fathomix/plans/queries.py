@@ -239,6 +239,20 @@ def hash_embed_blake(spark, sf):
     return indexing.embedded(V.texts(spark, sf), indexing.HashEmbedder, "text").select("file_id", "embedding")
 
 
+@query(
+    """WITH h AS (SELECT page_id, md5(html) AS h FROM pages WHERE html IS NOT NULL),
+    b AS (SELECT page_id, CAST('0x' || unnest([substr(h, 7, 2), substr(h, 5, 2), substr(h, 3, 2), substr(h, 1, 2), '00', '00', '00', '00']) AS BIGINT) AS bucket FROM h),
+    c AS (SELECT page_id, bucket, count(*) AS n FROM b GROUP BY 1, 2)
+    SELECT page_id AS file_id, bucket, round(n / (sqrt(sum(n * n) OVER (PARTITION BY page_id)) + 1e-12), 6) AS weight FROM c"""
+)
+def hash_embed_image(spark, sf):
+    """The hash embedding of bytes, by MD5's first four as a number of eight; the engine's uses BLAKE2b."""
+    bytes_of = V.table(spark, sf, "pages").where("html is not null").select(F.col("page_id").alias("file_id"), F.col("html").cast("binary").alias("image"))
+    dense = indexing.embedded(bytes_of, lambda: indexing.HashEmbedder(384, indexing.md5_32), "image", images=True)
+    told = dense.select("file_id", F.posexplode("embedding").alias("bucket", "weight")).where("weight > 0")
+    return told.select("file_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("weight").cast("double"), 6).alias("weight"))
+
+
 @query(
     """WITH p AS (SELECT label, CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE 1.0 END AS mask, embedding, i FROM embeddings, unnest(range(0, 64)) AS t(i)),
     m AS (SELECT label, i, sum(CAST(embedding[i + 1] AS DOUBLE) * mask) / greatest(sum(mask), 1e-9) AS m FROM p GROUP BY 1, 2)
@@ -591,7 +605,7 @@ def archive_peek(spark, sf):
 
 
 @query(
-    f"""WITH {V.ARCH_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY inner_path, size_bytes) AS rn FROM arch_v)
+    f"""WITH {V.ARCH_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY string_split(inner_path, '/'), size_bytes) AS rn FROM arch_v)
     SELECT file_id, count(*) AS n_entries, string_agg(inner_path, chr(10) ORDER BY rn) FILTER (WHERE rn <= 4) AS inner_paths FROM r GROUP BY file_id"""
 )
 def archive_inner_paths(spark, sf):

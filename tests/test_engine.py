@@ -199,6 +199,21 @@ def test_runs_add_postings_and_old_versions_go(spark, tmp_path, monkeypatch):
     assert list((tmp_path / "index").iterdir()) == [] and engine.search("common").count() == 0
 
 
+def test_batches_are_committed_one_by_one(spark, tmp_path):
+    root = tmp_path / "files"
+    root.mkdir()
+    for i in range(5):
+        (root / f"{i}.txt").write_text(f"common word{i}")
+    config = Config()
+    config.indexing.batch_files = 2
+    engine, commits = Engine(spark, f"file://{tmp_path}/index", config), []
+    commit = engine.store.commit
+    engine.store.commit = lambda written, state: (commits.append(state["processed"]), commit(written, state))
+    assert engine.index([str(root)]) == {"indexed": 5} and commits == [2, 4, 5]
+    assert engine.state()["enqueued"] == 5 and engine.search("common").where("array_contains(sources, 'fts')").count() == 5
+    assert sorted(r.vector_id for r in engine.table("vectors").collect()) == [1, 2, 3, 4, 5]
+
+
 def test_a_failed_run_leaves_the_index_as_it_was(spark, tmp_path, monkeypatch):
     root = tmp_path / "files"
     root.mkdir()
@@ -281,6 +296,8 @@ def test_gate_is_the_state_machine():
         elif not high and clock - since >= 6:
             paused = False
         assert gate.look() == paused
+    broken = Gate(limits, lambda: 1 / 0, lambda: 0.0)
+    assert not broken.look() and not broken.paused
     real = HostSampler()
     assert real().cores >= 1 and real().mem_available_gb > 0 and 0 <= real().cpu_percent <= 100
 
