@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
@@ -12,7 +11,7 @@ from fathomix.functions import paths, text as textf, vectors as vec
 from fathomix.operators import archives, hybrid, indexing, knn, lexical, load, tables
 from fathomix.plans import views as V
 from fathomix.sources.files import candidates, decoded
-from fathomix.work import work_dir
+from fathomix.work import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -304,7 +303,7 @@ def _index(spark, sf, name, docs, key, columns):
     stamp = spark.read.format("binaryFile").load(files).agg(F.count("*"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()
     at = (spark.sparkContext.applicationId, sf, name, *stamp)
     if at not in _INDEXES:
-        folder = f"{work_dir(spark)}/fathomix-lexical-{uuid.uuid4().hex}"
+        folder = new_folder(spark, "lexical")
         lexical.write_index(docs(spark, sf), key, columns, folder)
         _INDEXES[at] = lexical.open_index(spark, folder, "bigint", columns)
     return _INDEXES[at]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -13,7 +12,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from fathomix.functions.paths import file_type
 from fathomix.operators.indexing import text_chunks
 from fathomix.plans.views import _PATH
-from fathomix.work import work_dir
+from fathomix.work import new_folder
 
 
 def run_stream(source: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, every_s: float | None = None):
@@ -38,7 +37,7 @@ def drained(stream: DataFrame) -> DataFrame:
     run again after a failure leaves no rows twice.
     """
     spark, schema = stream.sparkSession, stream.schema
-    folder = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
 
     def each(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")

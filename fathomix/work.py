@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,8 +20,34 @@ def work_dir(spark: SparkSession) -> str:
     return (base if ":/" in base else f"file://{base}").rstrip("/")
 
 
+#: Folders that this process has named in work folders and not released yet.
+_NAMED: list[str] = []
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    path = f"{work_dir(spark)}/fathomix-{label}-{uuid.uuid4().hex}"
+    _NAMED.append(path)
+    return path
+
+
+def named() -> list[str]:
+    return list(_NAMED)
+
+
+def release(paths: list[str]) -> None:
+    """Deletes folders that nothing will read again."""
+    for path in paths:
+        fs, inner = pafs.FileSystem.from_uri(path.replace("file:/", "file:///") if path.startswith("file:/") and not path.startswith("file://") else path)
+        try:
+            fs.delete_dir(inner)
+        except FileNotFoundError:
+            pass
+        if path in _NAMED:
+            _NAMED.remove(path)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the work folder: rows that stay the same however often they are read."""
-    path = f"{work_dir(df.sparkSession)}/fathomix-{label}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

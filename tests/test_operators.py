@@ -261,3 +261,17 @@ def test_lsh_recall(spark):
         found += len(exact & {r.vector_id for r in knn.knn_lsh(vectors, q, 10).collect()})
         wanted += len(exact)
     assert found >= 0.9 * wanted and wanted >= 50
+
+
+def test_work_folders_are_named_and_released(spark):
+    from fathomix import work
+
+    before = work.named()
+    df = work.written(spark.range(5), "x")
+    (path,) = [p for p in work.named() if p not in before]
+    assert df.count() == 5
+    work.release([path])
+    assert path not in work.named()
+    with pytest.raises(Exception):
+        df.count()
+    work.release([path])
