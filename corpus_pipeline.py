@@ -14,6 +14,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fathomix import work
 from fathomix.llm import bpe, mixing, ngram_join, secrets, toxicity
 from fathomix.llm.common import materialize, read_table
 
@@ -52,8 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; each stage's rows are written as Parquet and reread."""
-    docs = read_table(spark, sf_dir, "documents")
+    """Applies STAGES to documents; each stage's rows are written as Parquet and reread.
+
+    Once they are, what the stage and those before it left in the work folder goes.
+    """
+    docs, ours = read_table(spark, sf_dir, "documents"), set(work.named())
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        *used, _ = (path for path in work.named() if path not in ours)
+        work.release(used)
     return docs

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fathomix.work import work_dir
+from fathomix.work import new_folder
 
 #: Ranges of one table never exceed this many, so their bounds stay a small literal.
 MAX_BUCKETS = 65_536
@@ -24,7 +23,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/fathomix-{label}-{uuid.uuid4().hex}"
+    return new_folder(spark, label)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -37,7 +37,13 @@ def test_stages(spark, sf_dir):
 
 
 def test_run(spark, sf_dir):
-    assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "n_tokens", "ids"]
+    from fathomix import work
+
+    before = work.named()
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert out.columns == ["doc_id", "n_tokens", "ids"] and out.count() > 100
+    left = [p for p in work.named() if p not in before]
+    assert len(left) == 1 and "pipeline-encode" in left[0]
 
 
 def spark_hash(*values):
