@@ -12,11 +12,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
 from fathomix.functions.paths import is_safe_member, type_of
 from fathomix.operators.archives import SEPARATOR, members
 from fathomix.sources import media
+from fathomix.sources.files import is_remote
 
 #: part: file (one a real or virtual file), text, page, segment, frame, entry (a member of an archive).
 EXTRACTED = (
@@ -111,7 +113,7 @@ def _archive(base: dict, content: bytes, readers: Readers, limits: Limits, trans
 
 
 def extracted(files: DataFrame, readers: Readers, limits: Limits, task_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """EXTRACTED rows of files (path, type, size_bytes, mtime_ns), which all executors can open by path.
+    """EXTRACTED rows of files (path, type, size_bytes, mtime_ns), which all executors can open by path or URI.
 
     Files are dealt to tasks by a hash, so many that a task reads about task_bytes.
     """
@@ -141,5 +143,9 @@ def extracted(files: DataFrame, readers: Readers, limits: Limits, task_bytes: in
 
 
 def _bytes(path: str) -> bytes:
+    if is_remote(path):
+        store, inside = pafs.FileSystem.from_uri(path)
+        with store.open_input_file(inside) as f:
+            return f.read()
     with open(path, "rb") as f:
         return f.read()

@@ -69,10 +69,19 @@ class FolderReader(DataSourceReader):
         return path, s.st_size, s.st_mtime_ns, s.st_ctime_ns
 
 
+def is_remote(root: str) -> bool:
+    """Whether a root is a URI: such are listed by Spark, others walked by tasks."""
+    return "://" in root
+
+
 def scan_folders(spark: SparkSession, roots: list[str], allow_roots: list[str], ignore: list[str], follow_symlinks: bool = False) -> DataFrame:
-    """Files of known type below roots that the filters let through: SCAN and type."""
+    """Files of known type below roots that the filters let through: SCAN and type. Roots are folders, files, or URIs of any store Spark reads."""
     spark.dataSource.register(FolderScan)
-    rows = spark.read.format("fathomix_folder").option("roots", "\n".join(roots)).option("followSymlinks", str(follow_symlinks)).load()
+    walked = [r for r in roots if not is_remote(r)]
+    rows = spark.read.format("fathomix_folder").option("roots", "\n".join(walked)).option("followSymlinks", str(follow_symlinks)).load()
+    for root in filter(is_remote, roots):
+        listed = binary_files(spark, root).select("path", "size_bytes", "mtime_ns", F.col("mtime_ns").alias("ctime_ns"))
+        rows = rows.unionByName(listed)
     return candidates(rows, roots, allow_roots, ignore)
 
 
@@ -80,6 +89,9 @@ def candidates(rows: DataFrame, roots: list[str], allow_roots: list[str], ignore
     path = F.col("path")
     out = rows.withColumn("type", file_type(path)).where(F.col("type").isNotNull() & allowed(path, allow_roots, ignore))
     for root in roots:
+        root = root.removeprefix("file://")
+        if is_remote(root):
+            continue  # a store has no walk to prune: the globs look at whole paths there
         root = os.path.abspath(os.path.expanduser(root))
         below = path.startswith(root.rstrip("/") + "/")
         out = out.where(~below | ~pruned(path, root, ignore))

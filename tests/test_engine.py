@@ -199,6 +199,21 @@ def test_runs_add_postings_and_old_versions_go(spark, tmp_path, monkeypatch):
     assert list((tmp_path / "index").iterdir()) == [] and engine.search("common").count() == 0
 
 
+def test_roots_as_uris(spark, tmp_path):
+    root = tmp_path / "files"
+    (root / "deep/.ssh").mkdir(parents=True)
+    (root / "a.txt").write_text("alpha walrus")
+    (root / "deep/b.md").write_text("beta")
+    (root / "deep/.ssh/c.txt").write_text("hidden")
+    (root / "x.unknown").write_text("?")
+    engine = Engine(spark, f"file://{tmp_path}/index", Config())
+    assert sorted(r.path for r in engine.scan([f"file://{root}"]).collect()) == [f"{root}/a.txt", f"{root}/deep/b.md"]
+    assert engine.index([f"file://{root}"]) == {"indexed": 2} and engine.search("walrus", top=1).first().path == f"{root}/a.txt"
+    from fathomix.sources.extract import _bytes
+
+    assert _bytes(f"file://{root}/a.txt") == b"alpha walrus"
+
+
 def test_batches_are_committed_one_by_one(spark, tmp_path):
     root = tmp_path / "files"
     root.mkdir()
