@@ -8,7 +8,6 @@ from fathomix.work import written
 
 #: Rows of a range of dense_ids(), about, and ranges at most: a plan holds a bound for each.
 RANGE_ROWS, MOST_RANGES = 100_000, 4_096
-FILE_VALUES = ("real_path", "type", "mime", "size_bytes", "mtime_ns", "ctime_ns", "hash", "status", "error_message")
 
 
 def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
