@@ -38,9 +38,9 @@ from fathomix.llm.common import materialize
 
 #: Points a leaf of data and one of queries holds, and children a node has, at most: radii
 #: are measured, so bounds stay true. Queries are few and spread, so their leaves are small.
-LEAF, QUERY_LEAF, FANOUT = 64, 8, 24
+LEAF, QUERY_LEAF, FANOUT = 64, 32, 24
 #: Points that are scored together, about.
-BATCH = 512
+BATCH = 2_048
 #: Rows of a block of data, and queries that meet it in one task, about.
 DATA_ROWS, QUERY_ROWS = 4_096, 2_048
 #: Cells at most, and vectors a cell that are sampled to place the centres.
@@ -179,9 +179,14 @@ class DualSearch:
         live = (scores >= self.best[rows, -1][:, None]).any(axis=1)
         if not live.any():
             return
-        rows = rows[live]
-        all_scores = np.concatenate([self.best[rows], scores[live]], axis=1)
-        all_ids = np.concatenate([self.best_ids[rows], ids[live]], axis=1)
+        rows, scores, ids = rows[live], scores[live], ids[live]
+        if scores.shape[1] > 8 * self.k:
+            # Only columns that are among a row's k best, ties included, are worth sorting.
+            least = np.maximum(np.partition(scores, -self.k, axis=1)[:, -self.k], self.best[rows, -1])
+            some = (scores >= least[:, None]).any(axis=0)
+            scores, ids = scores[:, some], ids[:, some]
+        all_scores = np.concatenate([self.best[rows], scores], axis=1)
+        all_ids = np.concatenate([self.best_ids[rows], ids], axis=1)
         order = np.lexsort((all_ids, -all_scores), axis=1)[:, : self.k]
         self.best[rows] = np.take_along_axis(all_scores, order, axis=1)
         self.best_ids[rows] = np.take_along_axis(all_ids, order, axis=1)
