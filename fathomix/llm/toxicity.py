@@ -61,7 +61,7 @@ FOLDS = 5
 #: The weight of a fixed word, and the intercept before anything is learned.
 PRIOR_WEIGHT, PRIOR_INTERCEPT = 5.0, -4.0
 #: How firmly learned factors of patterns are held to their priors: this times the sum of squares of what they multiply.
-FACTOR_RIDGE = 0.005
+FACTOR_RIDGE = 0.05
 
 WORDS = re.compile(r"\w+")
 CLAUSES = re.compile(r"[^.!?;\n]+")
