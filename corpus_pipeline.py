@@ -36,10 +36,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), decode=False)
+    coded = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), decode=False, cache_half=BPE_CACHE_HALF)
     return coded.select("doc_id", "n_tokens", "ids")
 
 
+#: Chunks in the BPE stage's caches: the workers that run it hold the caches of the other stages, too.
+BPE_CACHE_HALF = 50_000
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("near_copies", drop_near_copies),

@@ -51,7 +51,7 @@ def byte_alphabet() -> dict[str, int]:
 class RankBPE:
     """Encoder and decoder of one byte-level BPE vocabulary file (tokenizers JSON)."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_half: int = CACHE_HALF) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         back = byte_alphabet()
@@ -74,8 +74,8 @@ class RankBPE:
         self._split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         #: A blank that ends a run of white space and is not followed by a word: chunks would not be independent.
         self._unsafe = regex.compile(rf"[{SPACE}] (?:[{SPACE}]|$)")
-        self._cache = GenerationCache(self._chunk, CACHE_HALF)
-        self._word_cache = GenerationCache(self._word, CACHE_HALF)
+        self._cache = GenerationCache(self._chunk, cache_half)
+        self._word_cache = GenerationCache(self._word, cache_half)
 
     def merge_word(self, raw: bytes) -> list[int]:
         """Ids of one word's bytes: lowest rank first, leftmost of equals first."""
@@ -158,9 +158,9 @@ class RankBPE:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> RankBPE:
+def codec(path: str, cache_half: int = CACHE_HALF) -> RankBPE:
     """One codec a worker and file; its cache lives as long as the worker."""
-    return RankBPE(path)
+    return RankBPE(path, cache_half)
 
 
 def _shipped(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -168,11 +168,15 @@ def _shipped(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).cast("long").cast("string").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", decode: bool = True) -> DataFrame:
-    """Encodes every whole text: (id, n_tokens long, ids array of int) and, unless decode is off, decoded string."""
+def encode_documents(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", decode: bool = True, cache_half: int = CACHE_HALF) -> DataFrame:
+    """Encodes every whole text: (id, n_tokens long, ids array of int) and, unless decode is off, decoded string.
+
+    cache_half: chunks, and words, of a worker's caches in each generation; where other
+    operators keep caches in the same workers, fewer leave them more room.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(vocabulary)
+        own = codec(vocabulary, cache_half)
         for frame in frames:
             for at in range(0, len(frame), 512):
                 part = frame.iloc[at : at + 512]

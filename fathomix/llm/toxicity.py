@@ -182,7 +182,7 @@ class Model:
 
     @cached_property
     def lexicon(self) -> Lexicon:
-        return Lexicon(self.stems, self.factors)
+        return lexicon_of(tuple(sorted(self.stems.items())), self.factors)
 
     def score(self, text: str) -> float:
         n, clauses = self.lexicon.read(text)
@@ -205,7 +205,7 @@ class Lexicon:
             self.fixed |= {w: (symbol, PRIOR_WEIGHT) for w in words}
         self.stems = stems
         self.lengths = sorted({len(s) for s in stems}, reverse=True)
-        self._symbols = GenerationCache(self.symbol, 100_000)
+        self._symbols = GenerationCache(self.symbol, 50_000)
 
     def symbol(self, word: str) -> tuple[int, float, tuple[str, ...]]:
         """Symbol, weight and stems of a word: all its stems add up, so that a rare ending still counts."""
@@ -263,6 +263,12 @@ class Lexicon:
         return len(words), fixed, out
 
 
+@lru_cache(maxsize=1)
+def lexicon_of(stems: tuple[tuple[str, float], ...], factors: tuple[float, ...]) -> Lexicon:
+    """One lexicon a worker and model, so that its cache outlives a task and no second one stands beside it."""
+    return Lexicon(dict(stems), factors)
+
+
 def fold(doc_id):
     """crc32 of the id as text, modulo FOLDS; null counts as 0, the held-out fold."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS, F.lit(0))
