@@ -19,7 +19,15 @@ from fathomix.llm import bpe, mixing, ngram_join, secrets, toxicity
 from fathomix.llm.common import materialize, read_table
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers in batches of BATCH_ROWS, unless the session asks for a number of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return toxicity.keep_clean(docs, read_table(spark, sf_dir, "labels"))
 
 
@@ -40,6 +48,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids")
 
 
+#: Rows of a batch: texts are long, and several stages' workers and their batches share an executor's memory.
+BATCH_ROWS = 1_000
 #: Chunks in the BPE stage's caches: the workers that run it hold the caches of the other stages, too.
 BPE_CACHE_HALF = 50_000
 

@@ -61,7 +61,7 @@ _PRIME = 0x9E3779B97F4A7C15
 
 @lru_cache(maxsize=1)
 def _word_hashes() -> GenerationCache:
-    return GenerationCache(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), 100_000)
+    return GenerationCache(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), 60_000)
 
 
 @lru_cache(maxsize=1)

@@ -55,7 +55,7 @@ FEATURES, KEY_REACH = 1 << 16, 4
 #: Documents of which at most this many windows, from at most this many documents, train the model; tokens of a window.
 TRAIN_DOCS, TRAIN_WINDOWS, WINDOW = 20_000, 18_000, 12
 #: Characters that are scored at once, and tokens whose scores are kept.
-BLOCK, KEPT = 2_000_000, 200_000
+BLOCK, KEPT = 500_000, 200_000
 O, B, I = 0, 1, 2
 _NEVER = -1e9
 
