@@ -388,7 +388,7 @@ def classified(docs: DataFrame) -> DataFrame:
     narrow = materialize(narrow.withColumn("root", F.coalesce("root", "h1")), "class-roots")
     heads = narrow.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("nameless"), "rep", "rep_t")).alias("head"), F.count("*").alias("m"))
     about = join_counted(narrow, heads, ["root"], "m", narrow.count())
-    about = about.select("h1", "h2", "copies", "rep", "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    about = materialize(about.select("h1", "h2", "copies", "rep", "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "about")
     joined = join_counted(table.where(own).select("doc_id", "t", "h1", "h2"), about, ["h1", "h2"], "copies", table.count())
     kept = F.col("doc_id").eqNullSafe(F.col("head.rep")) & (F.col("t") == F.col("head.rep_t"))
     alone = table.where(~own).select("doc_id", "t", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), F.lit(False).alias("words"))
@@ -410,7 +410,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of the class its smallest id stays. Rows equal in id and text count once, unless
     the id is null and the text has no words: such rows all stay.
     """
-    told = classified(docs)
+    # Read four times below; unwritten, each plan would hold all of its joins as often.
+    told = materialize(classified(docs).select("doc_id", "t", "kept", "words"), "told")
     dropped = told.where(~F.col("kept")).select(F.col("doc_id").alias("gone_i"), F.col("t").alias("gone_t")).distinct()
     wordless = told.where(F.col("doc_id").isNull() & ~F.col("words")).select(F.col("t").alias("gone_t")).distinct()
     rows = nested(docs, i=F.col("doc_id").cast("long"), t=F.xxhash64("text"))
