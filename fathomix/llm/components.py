@@ -15,7 +15,7 @@ the work ends when a pass changes nothing, which a count and a sum of hashes tel
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -106,10 +106,15 @@ def _mark(rows: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of edges (u, v); the root is the component's smallest node."""
+def connected(edges: DataFrame, find: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None = None) -> DataFrame:
+    """(node, root) of every node of edges (u, v); the root is the component's smallest node.
+
+    find: makes the edges from the rows of the first argument. It runs in the worker that
+    shrinks them; as a mapInPandas before, it would hold a second worker a task.
+    """
     spark = edges.sparkSession
-    rows = materialize(edges.where("u <> v").mapInPandas(_shrink, _ROWS), "edges")
+    made = edges.mapInPandas(lambda frames: _shrink(find(frames)), _ROWS) if find else edges.where("u <> v").mapInPandas(_shrink, _ROWS)
+    rows = materialize(made, "edges")
     mark = _mark(rows)
     tasks = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-mark[0] // FEW_EDGES)), -(-mark[0] // TASK_EDGES))
     while mark[0]:

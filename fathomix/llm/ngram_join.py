@@ -274,8 +274,8 @@ def signature_table(docs: DataFrame) -> DataFrame:
     return materialize(made.withColumn("doc_id", F.col("doc_id").cast("long")), "signatures")
 
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
-    """(u, v): a spanning forest, bucket by bucket, of pairs of classes that the Bayesian test keeps."""
+def candidate_groups(classes: DataFrame) -> DataFrame:
+    """(node, root): components of a spanning forest, bucket by bucket, of pairs of classes that the Bayesian test keeps."""
     bands = F.array(*(F.xxhash64(F.lit(k), F.substring(F.col("signature"), 2 * BAND_ROWS * k + 1, 2 * BAND_ROWS)) for k in range(BANDS)))
     listed = classes.select("h1", F.explode(bands).alias("bucket"))
     buckets = listed.groupBy("bucket").agg(F.count("*").alias("m"), F.bit_xor("h1").alias("x"), F.bit_xor(F.xxhash64("h1")).alias("s"))
@@ -303,7 +303,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
                 u, v = [], []
         yield pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
-    return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "u long, v long")
+    return connected(tiles.repartition(*keys).sortWithinPartitions(*keys), compare)
 
 
 def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
@@ -381,7 +381,7 @@ def classified(docs: DataFrame) -> DataFrame:
         .select(F.col("r.doc_id").alias("rep"), F.col("r.t").alias("rep_t"), F.col("r.n").alias("n"), "h1", "h2", F.col("r.signature").alias("signature"), "copies"),
         "classes",
     )
-    found = verified(docs, classes, connected(candidate_edges(classes)))
+    found = verified(docs, classes, candidate_groups(classes))
     roots = connected(found.where("v is not null").select("u", "v")).withColumnRenamed("node", "h1")
     counts = found.where("v is null").groupBy(F.col("u").alias("h1")).agg(F.sum("links").alias("links"))
     narrow = classes.select("h1", "h2", "rep", "rep_t", "copies").join(roots, "h1", "left").join(counts, "h1", "left")

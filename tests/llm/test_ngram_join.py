@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from fathomix.llm import ngram_join as J
+from fathomix.llm import components as C, ngram_join as J
 
 
 def words(text):
@@ -116,6 +116,35 @@ def test_heavy_keys_give_the_same(spark, monkeypatch):
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def python_nodes(node):
+    """Of each stage, how many of its nodes run Python one over the other, at most; the first is that of node."""
+    below = [python_nodes(node.children().apply(i)) for i in range(node.children().size())]
+    name, rest = node.nodeName(), [n for stages in below for n in stages[1:]]
+    most = max((stages[0] for stages in below), default=0)
+    if "Exchange" in name:
+        return [0, most, *rest]
+    return [most + bool(re.search("Pandas|Arrow|Python", name)), *rest]
+
+
+def test_one_worker_a_task(spark, monkeypatch):
+    """Each Python node of a stage holds a worker of its own in each task, and workers and their caches stay."""
+    found = {}
+
+    def seen(df, label, write=J.materialize):
+        found.setdefault(label, []).append(max(python_nodes(df._jdf.queryExecution().executedPlan())))
+        return write(df, label)
+
+    monkeypatch.setattr(J, "materialize", seen)
+    monkeypatch.setattr(C, "materialize", seen)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        J.classified(spark.createDataFrame(corpus(), "doc_id long, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {"signatures", "edges", "verified"} <= set(found)
+    assert max(n for counts in found.values() for n in counts) == 1, found
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert got(df) == []
