@@ -34,6 +34,41 @@ def test_random(pair):
         same(pair, "".join(rng.choice(alphabet) for _ in range(rng.randrange(30))))
 
 
+def test_words_merge_together(pair, monkeypatch):
+    """One by one they took more CPU time than all else."""
+    own, _ = pair
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abeinrst' éß漢🎉0") for _ in range(rng.randrange(1, 14))).encode() for _ in range(3000)]
+    words += [b"a", b"aa" * 8, b"a" * 32, b"a" * 33, b"thing" * 60, b"\xff\xfe"]
+    want = [tuple(own.merge_word(w)) for w in words]
+    assert own.merge_words(words) == want
+    assert own.merge_words([]) == []
+    single = []
+    monkeypatch.setattr(RankBPE, "merge_word", lambda self, raw: single.append(raw) or [0])
+    fresh = RankBPE(PATH)
+    texts = ["x " + " ".join(" ".join(w.decode() for w in words[i : i + 50] if len(w) < 32).split()) for i in range(0, 3000, 50)]
+    assert len(list(fresh.encode_all(texts))) == 60
+    assert not single
+
+
+@pytest.mark.parametrize("half", [3, 400, 150_000])
+def test_texts_together(monkeypatch, half):
+    from fathomix.llm import bpe
+
+    monkeypatch.setattr(bpe, "TEXTS", 7)
+    monkeypatch.setattr(bpe, "CHARS", 2_000)
+    own, library = RankBPE(PATH, half), Tokenizer.from_file(PATH)
+    rng = random.Random(half)
+    alphabet = list("abeinrst   \n'!1éßñ漢×ª·") + ["<|endoftext|>", " the", "ing", ".\n", "  ", "ſ", "ǅ", "ʰ"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(90))) for _ in range(400)]
+    texts += ["", " ", "x" * 300 + " word " + "y" * 64 + " " + "z" * 63, "unlike " * 900, "\ud800 a"[1:], "it's  two\n \nlines"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert list(own.encode_all(texts)) == want
+    assert list(own.encode_all(texts)) == want
+    assert [own.encode(t) for t in texts] == want
+    assert max(map(len, (own._cache, own._cache.old, own._word_cache, own._word_cache.old))) <= half
+
+
 def test_frames(spark):
     import hashlib
 
